@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
+from .pii import find_pii
+from .url_filter import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +21,46 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+#: (action, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base places are the exact ones of the four phrases of the contract."""
+    found = license_scan(_table(spark, sf_dir, "documents"))
+    base = F.expr("filter(hits, h -> h.edits = 0 AND h.phrase IN ('gnu general public license', 'apache license', 'cc by', 'mit license'))")
+    labels = lambda hits: F.array_join(F.array_sort(F.array_distinct(hits["label"])), ",")
+    # how much of the best notice stands unchanged
+    score = F.array_max(F.transform("hits", lambda h: F.greatest(F.lit(0.0), 1 - h["edits"] / F.length(h["phrase"]))))
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.first_word").alias("first_word"), F.array_max("base.first_word").alias("last_word"),
+        labels(F.col("base")).alias("base_labels"), labels(F.col("hits")).alias("labels"), F.coalesce(score, F.lit(0.0)).alias("score"),
+    )
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_url_filter": op7_url_filter,
+    "op9_license_scan": op9_license_scan,
+    "op10_pii": op10_pii,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -29,4 +71,12 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY x)""",
+    "op7_url_filter": """
+        WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+        r(action, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        hit AS (SELECT page_id, arg_max(h || p, length(h) + length(p)) AS rule, arg_max(action, length(h) + length(p)) AS action
+                FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN hit USING (page_id)""",
 }
