@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
+from .near_dup import near_duplicates
 from .pii import find_pii
 from .url_filter import url_filter
 
@@ -35,6 +36,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base places are the exact ones of the four phrases of the contract."""
     found = license_scan(_table(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_near_dedup": op8_near_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
 }
@@ -79,4 +85,14 @@ SQL: dict[str, str] = {
         hit AS (SELECT page_id, arg_max(h || p, length(h) + length(p)) AS rule, arg_max(action, length(h) + length(p)) AS action
                 FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
         SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN hit USING (page_id)""",
+    "op8_near_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS shingle FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT u, v FROM p JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * common >= 85 * (nu.n + nv.n - common)),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
 }
