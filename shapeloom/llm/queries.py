@@ -14,6 +14,7 @@ from .near_dup import near_duplicates
 from .pii import find_pii
 from .token_counts import token_counts
 from .url_filter import url_filter
+from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = read_warc(write_warc(_table(spark, sf_dir, "pages")), with_payload=False)
+    # a record that breaks a rule fails the query
+    checked = F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error("error"))
+    return back.select("page_id", "payload_bytes", "payload_digest", checked.alias("record_type"), "refers_to")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_encode(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -82,6 +90,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_near_dedup": op8_near_dedup,
@@ -115,4 +124,12 @@ SQL: dict[str, str] = {
         r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u)
         SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept
         FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + ((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to FROM d""",
 }
