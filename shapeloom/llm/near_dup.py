@@ -2,8 +2,8 @@
 
 1. One pass makes of each text its set of shingle hashes: the size, a digest, a signature and band keys.
    Texts with equal sets are one class and are represented by their smallest id.
-2. Each band bucket with several representatives has a *hub*, the smallest.  All members are tested against
-   the hub: few tests, however large the bucket.  Links give components.
+2. Each band bucket with several representatives has a *hub*, the smallest.  Every member is tested against
+   the smallest of its hubs: one test each, however large the buckets.  Links give components.
 3. Members that are not in their hub's component may still be linked with others of the bucket.  They are
    tested against all members, in blocks of bounded size that two at a time meet in a task; a task tests
    only pairs between components, each pair in the first bucket it has in common, and gives back links that
@@ -32,9 +32,11 @@ from . import scratch
 from .components import connected_components
 from .textops import chunks, hash_words, mix, shingles
 
-HASHES = 256
+HASHES = 160
 BAND_MISS = 1e-5
 BATCH = 32
+#: Ids of at most so many bytes are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Most members and most shingles (8 bytes each) of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
 
@@ -122,19 +124,19 @@ def _features(width: int, rows: int, bands: int):
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], ["rep", "full"])
-
-    return run
-
-
 class Tester:
     """Tests of pairs at one threshold."""
 
-    def __init__(self, percent: int, hashes: int, miss: float) -> None:
-        self.percent, self.steps = percent, least_matches(percent, hashes, miss)
+    def __init__(self, width: int, percent: int, hashes: int, miss: float) -> None:
+        self.width, self.percent, self.steps = width, percent, least_matches(percent, hashes, miss)
+
+    def sets(self, rows: list[dict]) -> list[np.ndarray]:
+        """Full sets, made from the texts when they are first needed."""
+        new = [r for r in rows if "full" not in r]
+        for lo in range(0, len(new), 64):
+            for r, full in zip(new[lo : lo + 64], shingle_sets([r["text"].encode() for r in new[lo : lo + 64]], self.width)):
+                r["full"] = full
+        return [r["full"] for r in rows]
 
     def surviving(self, sig: np.ndarray, sigs: np.ndarray) -> np.ndarray:
         """Rows of ``sigs`` that are not pruned."""
@@ -171,17 +173,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from batch.slice(lo, 256).to_pylist()
 
 
-def _star(percent: int, hashes: int, miss: float):
+def _star(test: tuple):
     """Rows come by (hub, block), the hub before the members: only the hub is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tester, hub, found = Tester(percent, hashes, miss), None, []
+        tester, hub, hub_sig, found = Tester(*test), None, None, []
         for r in _rows(batches):
-            sig, full = np.frombuffer(r["sig"], np.uint16), np.frombuffer(r["full"], np.uint64)
+            sig = np.frombuffer(r["sig"], np.uint16)
             if not r["member"]:
-                hub, hub_sig, hub_full = r["hub"], sig, full
-            elif r["hub"] == hub and len(tester.surviving(hub_sig, sig[None])) and tester.linked(hub_full, [full])[0]:
-                found.append((hub, r["rep"]))
+                hub, hub_sig = r, sig
+            elif hub and r["hub"] == hub["hub"] and len(tester.surviving(hub_sig, sig[None])) and tester.linked(tester.sets([hub])[0], tester.sets([r]))[0]:
+                found.append((hub["hub"], r["rep"]))
                 if len(found) >= 10_000:
                     yield _links(found)
                     found = []
@@ -191,7 +193,7 @@ def _star(percent: int, hashes: int, miss: float):
     return run
 
 
-def _rest(percent: int, hashes: int, miss: float, bands: int):
+def _rest(test: tuple, bands: int):
     """Rows come by (hub, left, right, kind); those of one task are held: two blocks."""
 
     def meet(tester: Tester, hub: int, alone: bool, rows: list[dict]) -> list[tuple[int, int]]:
@@ -205,7 +207,6 @@ def _rest(percent: int, hashes: int, miss: float, bands: int):
             for x in r["hubs"]:
                 hubs[k, x["band"]] = x["hub"]
         sigs = np.stack([np.frombuffer(r["sig"], np.uint16) for r in right])
-        fulls = [np.frombuffer(r["full"], np.uint64) for r in right]
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -226,7 +227,7 @@ def _rest(percent: int, hashes: int, miss: float, bands: int):
             near = np.flatnonzero(open_)
             near = near[tester.surviving(np.frombuffer(r["sig"], np.uint16), sigs[near])]
             if len(near):
-                for k in near[tester.linked(np.frombuffer(r["full"], np.uint64), [fulls[k] for k in near])].tolist():
+                for k in near[tester.linked(tester.sets([r])[0], tester.sets([right[k] for k in near]))].tolist():
                     a, b = find(r["component"]), find(right[k]["component"])
                     if a != b:
                         root[max(a, b)] = min(a, b)
@@ -234,7 +235,7 @@ def _rest(percent: int, hashes: int, miss: float, bands: int):
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tester, key, rows = Tester(percent, hashes, miss), None, []
+        tester, key, rows = Tester(*test), None, []
         for r in _rows(batches):
             now = (r["hub"], r["i"], r["j"], r["main"])
             if now != key:
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
     is kept.  An empty table gives an empty result; other columns are not looked at.
     """
     rows, bands = banding(percent)
-    test = (percent, rows * bands, miss)
+    test = (width, percent, rows * bands, miss)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = scratch.table(docs.mapInArrow(_features(width, rows, bands), _FEATURES), "near-features")
     named = features.where("doc_id is not null and n > 0")
@@ -270,20 +271,22 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
     shared = members.join(hubs, "key").groupBy("rep").agg(F.collect_list(F.struct("band", "hub")).alias("hubs"))
     shared = scratch.table(shared, "near-shared")
-    wanted = docs.join(shared, docs.doc_id == shared.rep, "left_semi").mapInArrow(_sets(width), "rep long, full binary")
-    near = named.select(F.col("doc_id").alias("rep"), "n", "sig").join(shared, "rep").join(wanted, "rep")
-    near = scratch.table(near, "near-sets")
+    ids = shared.select("rep")
+    ids = F.broadcast(ids) if 8 * ids.count() <= BROADCAST_BYTES else ids
+    few = lambda df: df.join(ids, df.doc_id == ids.rep, "left_semi").withColumnRenamed("doc_id", "rep")
+    near = shared.join(few(named.select("doc_id", "n", "sig")), "rep").join(few(docs), "rep")
+    near = scratch.table(near, "near-texts")
 
-    # every member against its hubs
-    pairs = near.select("rep", "n", F.explode(F.array_distinct("hubs.hub")).alias("hub"))
+    # every member against the smallest of its hubs
     load = lambda kind: F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("int").alias(kind)
-    loads = pairs.groupBy("hub").agg(load("blocks"))
     block = lambda of: F.pmod(F.xxhash64("rep", "hub"), F.greatest(F.col(of), F.lit(1))).cast("int")
-    to_hub = pairs.where("rep <> hub").select("rep", "hub").join(loads, "hub").select("rep", "hub", block("blocks").alias("block"), F.lit(True).alias("member"))
+    pairs = near.select("rep", "n", F.array_min("hubs.hub").alias("hub")).where("hub < rep")
+    loads = pairs.groupBy("hub").agg(load("blocks"))
+    to_hub = pairs.join(loads, "hub").select("rep", "hub", block("blocks").alias("block"), F.lit(True).alias("member"))
     of_hub = loads.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"))
-    work = to_hub.union(of_hub).join(near.select("rep", "sig", "full"), "rep")
+    work = to_hub.union(of_hub).join(near.select("rep", "sig", "text"), "rep")
     work = work.repartition("hub", "block").sortWithinPartitions("hub", "block", "member")
-    stars = scratch.table(work.mapInArrow(_star(*test), _LINKS), "near-stars")
+    stars = scratch.table(work.mapInArrow(_star(test), _LINKS), "near-stars")
 
     # the others against all members
     first = connected_components(stars)
@@ -301,9 +304,9 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
         placed.where("not main").select(*base, F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("others") - 1)).alias("j"), F.lit(False).alias("main"), F.lit(0).alias("side")),
         placed.where("not main").select(*base, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.lit(False).alias("main"), F.lit(1).alias("side")),
     ]
-    work = tasks[0].union(tasks[1]).union(tasks[2]).union(tasks[3]).join(near.select("rep", "sig", "full", "hubs"), "rep")
+    work = tasks[0].union(tasks[1]).union(tasks[2]).union(tasks[3]).join(near.select("rep", "sig", "text", "hubs"), "rep")
     work = work.repartition("hub", "i", "j", "main").sortWithinPartitions("hub", "i", "j", "main", "rep")
-    rest = work.mapInArrow(_rest(*test, bands), _LINKS)
+    rest = work.mapInArrow(_rest(test, bands), _LINKS)
 
     comp = connected_components(first.select("id", "component").toDF("u", "v").union(rest)).select(F.col("id").alias("rep"), "component")
     of_class = classes.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
