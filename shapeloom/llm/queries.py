@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .langid import language_id
 from .license_scan import license_scan
 from .near_dup import near_duplicates
 from .pii import find_pii
@@ -21,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +59,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", checked.alias("record_type"), "refers_to")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_encode(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -88,9 +98,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
+    "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_near_dedup": op8_near_dedup,
