@@ -2,14 +2,17 @@
 
 Texts are words (letters and digits, lower-cased).  The CGK embedding walks over a word sequence and, at each
 step, writes down the word it stands on and moves on if a random bit of (step, word) says so; both sides of an
-edit soon walk in step again, so edit distance becomes Hamming distance.  A repetition samples some steps; a
-window of a document whose words at these steps are those of an item is a candidate.  The number of
-repetitions of a class of items follows from their chance to meet after as many edits as are allowed, measured
-on edited copies of the class's own items, so that ``recall`` is reached.  Candidates are verified by exact
-edit distance (bit-parallel, the item anywhere within the window and what the edits can add around it).
-
-Before windows are embedded, those that can't be within the edits are passed over: an item of n words with k
-edits keeps n - k of its words, so the window must hold that many words of the class's vocabulary.
+edit soon walk in step again, so edit distance becomes Hamming distance.  As many edits as are allowed here
+would leave little of one long walk in step, so an item is walked in short stretches, a new one every few
+words; a document is walked from each word of its item-sized windows.  A repetition samples some steps: where
+a document's words at these steps are those of a stretch, the item is a candidate at that alignment.  The
+number of repetitions of a class of items follows from the chance that one finds a copy with all the edits
+allowed, measured on edited copies of the class's own items, so that ``recall`` is reached.  Candidates are
+verified by exact edit distance (bit-parallel, the item anywhere in the window and what edits can add to it).
+
+Windows that can't be within the edits are passed over before they are walked: an item of n words with k
+edits keeps n - k of its words, and of its rare words all but k, so the window must hold that many words of
+the class's vocabulary and of its rare words.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +31,11 @@ from .textops import hash_words, mix
 #: Items searched for in one pass over the documents; more are searched for in further passes.
 BLOCK_ITEMS = 20_000
 CLASSES = 8
-SAMPLED = 2
-MOST_REPETITIONS = 96
+#: Steps of a walk, steps sampled of them, and words between the stretches of an item.
+STEPS, SAMPLED, STRIDE = 24, 3, 3
+MOST_REPETITIONS = 32
+#: A word in more than this share of the items isn't rare.
+COMMON = 0.05
 #: Bytes of text at a time, and windows embedded at a time.
 CHUNK, WINDOWS = 4 << 20, 2048
 _TABLE = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -46,74 +53,93 @@ def _low(h: np.ndarray) -> np.ndarray:
 class ItemClass:
     """Items of similar length."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], percent: int, recall: float, seed: int) -> None:
+    def __init__(self, items: list[tuple[int, np.ndarray]], common: np.ndarray, percent: int, recall: float, seed: int) -> None:
         self.items = items
-        self.least = min(len(w) for _, w in items)
-        self.edits = max(allowed(len(w), percent) for _, w in items)
-        self.steps = max(1, 9 * self.least // 5)
+        self.least, self.most = len(items[0][1]), len(items[-1][1])
         self.vocabulary = np.unique(np.concatenate([w for _, w in items]))
-        self.needed = max(1, min(len(w) - allowed(len(w), percent) - max(0, len(w) - self.least) for _, w in items))
+        self.rare = np.setdiff1d(self.vocabulary, common)
+        # what a window of the least length must hold; a longer item may have the rest beyond it
+        slack = [allowed(len(w), percent) + len(w) - self.least for _, w in items]
+        self.needed = max(1, min(len(w) - x for (_, w), x in zip(items, slack)))
+        self.needed_rare = max(0, min(int(np.isin(w, self.rare).sum()) - x for (_, w), x in zip(items, slack)))
         rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 1 << 32, (self.steps, MOST_REPETITIONS), np.uint32) | np.uint32(1)
-        self.sampled = np.array([rng.choice(self.steps, min(SAMPLED, self.steps), replace=False) for _ in range(MOST_REPETITIONS)])
+        self.bits = rng.integers(0, 1 << 32, (STEPS, MOST_REPETITIONS), np.uint32) | np.uint32(1)
+        self.sampled = np.array([rng.choice(STEPS, SAMPLED, replace=False) for _ in range(MOST_REPETITIONS)])
         self.repetitions = MOST_REPETITIONS
-        words = np.concatenate([np.append(w, np.uint32(0)) for _, w in items])
-        starts = np.cumsum([0, *(len(w) + 1 for _, w in items[:-1])])
-        keys = self.keys(words, starts, starts + np.array([len(w) for _, w in items]))
-        self.repetitions = self._repetitions(keys, percent, recall, rng)
+        words = np.concatenate([np.append(w, np.zeros(STEPS, np.uint32)) for _, w in items])
+        starts, of, offset, at = [], [], [], 0
+        for k, (_, w) in enumerate(items):
+            o = range(0, max(1, len(w) - STEPS // 4), STRIDE)
+            starts += [at + x for x in o]
+            of += [k] * len(o)
+            offset += o
+            at += len(w) + STEPS
+        keys = self.keys(words, np.array(starts))
+        of, offset = np.array(of), np.array(offset)
+        self.repetitions = self._repetitions(keys, of, percent, recall, rng)
         keys = keys[: self.repetitions]
-        of = np.broadcast_to(np.arange(len(items)), keys.shape)[keys != 0]
-        order = np.argsort(keys[keys != 0], kind="stable")
-        self.stored, self.of = keys[keys != 0][order], of[order]
+        rep, place = np.nonzero(keys)
+        order = np.argsort(keys[rep, place], kind="stable")
+        self.stored, self.of, self.offset = keys[rep, place][order], of[place][order], offset[place][order]
 
-    def keys(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray | None = None) -> np.ndarray:
+    def keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """uint64 [repetition, start]; 0 where a sampled word is none of the items'."""
-        r = self.repetitions
+        r, end = self.repetitions, len(words) - 1
         at = np.broadcast_to(starts, (r, len(starts))).copy()
-        stops = np.minimum(len(words) - 1, starts + 2 * self.least) if stops is None else stops
-        seen = np.empty((self.steps, r, len(starts)), np.uint32)
-        for j in range(self.steps):
+        seen = np.empty((STEPS, r, len(starts)), np.uint32)
+        for j in range(STEPS):
             w = words[at]
             seen[j] = w
-            at = np.minimum(at + ((w * self.bits[j, :r, None]) >> np.uint32(31)), stops)
+            at = np.minimum(at + ((w * self.bits[j, :r, None]) >> np.uint32(31)), end)
         out = np.broadcast_to(np.arange(1, r + 1, dtype=np.uint64)[:, None], (r, len(starts))).copy()
         none = np.zeros(out.shape, bool)
-        for k in range(self.sampled.shape[1]):
+        for k in range(SAMPLED):
             w = seen[self.sampled[:r, k], np.arange(r)]
             none |= w == 0
             out = mix(out * np.uint64(0x2545F4914F6CDD1D) + w)
         out[none] = 0
         return out
 
-    def _repetitions(self, keys: np.ndarray, percent: int, recall: float, rng: np.random.Generator) -> int:
+    def _repetitions(self, keys: np.ndarray, of: np.ndarray, percent: int, recall: float, rng: np.random.Generator) -> int:
         """So many that a copy with all edits allowed is found with the chance ``recall``."""
         met = total = 0
         for k in rng.permutation(len(self.items))[:64].tolist():
             words = self.items[k][1]
             for _ in range(4):
                 copy = words.tolist()
-                for kind, at in zip(rng.integers(0, 3, allowed(len(words), percent)), rng.random(len(words))):
-                    at = int(at * max(1, len(copy)))
+                for kind in rng.integers(0, 3, allowed(len(words), percent)).tolist():
+                    at = int(rng.random() * max(1, len(copy)))
                     copy[at : at + (kind != 1)] = [] if kind == 0 else [0]  # deleted, inserted, replaced
-                copy = np.array([*copy, *[0] * (2 * self.least)], np.uint32)
-                met += int((self.keys(copy, np.array([0]))[:, 0] == np.where(keys[:, k] == 0, 1, keys[:, k])).sum())
+                n = len(copy)
+                got = self.keys(np.array([*copy, *[0] * STEPS], np.uint32), np.arange(n))
+                mine = keys[:, of == k]
+                met += sum(bool(np.intersect1d(a[a != 0], b).size) for a, b in zip(mine, got))
                 total += len(keys)
-        p = min(max(met / total, 1e-3), 0.99)
-        return int(min(MOST_REPETITIONS, max(4, ceil(log(1 - recall) / log(1 - p)))))
-
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(start, number of the item)."""
-        held = np.concatenate([[0], np.cumsum(np.isin(words, self.vocabulary, kind="sort"))])
-        starts = np.arange(max(0, len(words) - self.needed + 1))
-        starts = starts[held[np.minimum(starts + self.least, len(words))] - held[starts] >= self.needed]
-        padded = np.append(words, np.uint32(0))
+        p = min(max(met / total, 1e-3), 0.999)
+        return int(min(MOST_REPETITIONS, max(2, ceil(log(1 - recall) / log(1 - p)))))
+
+    def candidates(self, words: np.ndarray, known: np.ndarray, rare: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place of a word, number of an item, where in the item that word would be); ``known`` and ``rare``:
+        running numbers of words of the vocabulary and of rare words."""
+        n = len(words)
+        first = np.arange(max(0, n - self.needed + 1))
+        last = np.minimum(first + self.least, n)
+        first = first[(known[last] - known[first] >= self.needed) & (rare[last] - rare[first] >= self.needed_rare)]
+        if not len(first):
+            return
+        covered = np.zeros(n + 1, np.int64)
+        np.add.at(covered, first, 1)
+        np.add.at(covered, np.minimum(first + self.most, n), -1)
+        starts = np.flatnonzero(np.cumsum(covered[:n]))
+        padded = np.append(words, np.zeros(STEPS, np.uint32))
         for lo in range(0, len(starts), WINDOWS):
             part = starts[lo : lo + WINDOWS]
             keys = self.keys(padded, part)
-            a, b = np.searchsorted(self.stored, keys, "left"), np.searchsorted(self.stored, keys, "right")
-            rep, at = np.nonzero((b > a) & (keys != 0))
-            pairs = {(int(part[k]), int(self.of[x])) for r, k in zip(rep.tolist(), at.tolist()) for x in range(a[r, k], b[r, k])}
-            yield from sorted(pairs)
+            a = np.searchsorted(self.stored, keys, "left")
+            hit = (keys != 0) & (self.stored[np.minimum(a, len(self.stored) - 1)] == keys)
+            rep, at = np.nonzero(hit)
+            b = np.searchsorted(self.stored, keys[rep, at], "right")
+            yield from sorted({(int(part[k]), int(self.of[x]), int(self.offset[x])) for k, lo_, hi_ in zip(at.tolist(), a[rep, at].tolist(), b.tolist()) for x in range(lo_, hi_)})
 
 
 def allowed(n: int, percent: int) -> int:
@@ -149,21 +175,27 @@ class Searcher:
         kept = [(i, _low(hashes[a:b])) for (i, _), a, b in zip(items, first, first[1:]) if b - a >= least_words]
         kept.sort(key=lambda x: (len(x[1]), x[0]))
         n = max(1, ceil(len(kept) / CLASSES))
-        self.classes = [ItemClass(kept[k : k + n], percent, recall, k) for k in range(0, len(kept), n)]
-        self.vocabulary = np.unique(np.concatenate([c.vocabulary for c in self.classes])) if kept else np.empty(0, np.uint32)
+        found, times = np.unique(np.concatenate([np.unique(w) for _, w in kept]), return_counts=True) if kept else (np.empty(0, np.uint32),) * 2
+        common = found[times > COMMON * len(kept)]
+        self.classes = [ItemClass(kept[k : k + n], common, percent, recall, k) for k in range(0, len(kept), n)]
+        # classes by word: known and rare; the last line is for words of no item
+        self.vocabulary = found
+        self.known, self.rare = (np.stack([np.append(np.isin(found, v), False) for v in vs]) if kept else None for vs in ([c.vocabulary for c in self.classes], [c.rare for c in self.classes]))
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         """(number of the text, item id, edits, item's words, last word) of each text and item that match."""
         hashes, first = hash_words(texts)
         words = _low(hashes)
-        # words of no item are 0
-        known = self._known(words)
-        words[~known] = 0
+        at = np.searchsorted(self.vocabulary, words)
+        at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] != words] = len(self.vocabulary)
+        words[at == len(self.vocabulary)] = 0  # words of no item
+        running = lambda flags: np.concatenate([[0], np.cumsum(flags[at], dtype=np.int32)])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for c in self.classes:
-            for start, k in c.candidates(words):
+        for c, known, rare in zip(self.classes, self.known, self.rare):
+            for start, k, offset in c.candidates(words, running(known), running(rare)):
                 doc = int(np.searchsorted(first, start, "right")) - 1
+                start -= offset
                 item_id, item = c.items[k]
                 edits = allowed(len(item), self.percent)
                 # neighbouring candidates look at nearly the same words: the places are rounded, the region covers both
@@ -172,26 +204,20 @@ class Searcher:
                 if (doc, item_id, place) in tried:
                     continue
                 tried.add((doc, item_id, place))
-                lo, hi = max(first[doc], place * step - 2 * edits), min(first[doc + 1], (place + 1) * step + len(item) + 2 * edits)
+                lo, hi = max(int(first[doc]), place * step - 2 * edits), min(int(first[doc + 1]), (place + 1) * step + len(item) + 2 * edits)
                 distance, end = best_match(item.tolist(), words[lo:hi].tolist())
                 if distance <= edits:
                     best[doc, item_id] = min(best.get((doc, item_id), (distance + 1, 0, 0)), (distance, int(lo + end - first[doc]), len(item)))
         for (doc, item_id), (distance, end, n) in sorted(best.items()):
             yield doc, item_id, distance, n, end
 
-    def _known(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(words), bool)
-        at = np.searchsorted(self.vocabulary, words)
-        return self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == words
-
 
 _SCHEMA = "doc_id long, item_id long, edits long, item_words long, last_word long"
 
 
-def _search(items: list[tuple[int, str]], percent: int, recall: float, least_words: int):
+def _search(shared: Broadcast[Searcher]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(items, percent, recall, least_words)
+        searcher = shared.value
         for batch in batches:
             ids, texts, size = [], [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -229,6 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, reca
     out = None
     for k in range(blocks):
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").collect()]
-        part = docs.mapInArrow(_search(block, percent, recall, least_words), _SCHEMA)
+        searcher = docs.sparkSession.sparkContext.broadcast(Searcher(block, percent, recall, least_words))
+        part = docs.mapInArrow(_search(searcher), _SCHEMA)
         out = part if out is None else out.union(part)
     return out
