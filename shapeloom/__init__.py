@@ -1,0 +1 @@
+"""JSON shaping and composition as DataFrame plans."""
