@@ -35,7 +35,7 @@ def string(x: ColumnLike) -> Column:
     x = col(x)
     s = x.cast("string")
     d = s.try_cast("double")
-    whole = (d == F.floor(d)) & (F.abs(d) < 1e21)
+    whole = (F.try_mod(d, F.lit(1.0)) == 0) & (F.abs(d) < 1e21)
     plain = F.when(d == 0, F.lit("0")).otherwise(s.try_cast("decimal(38,0)").cast("string"))
     large = F.regexp_replace(F.regexp_replace(F.lower(s), r"\.0e", "e"), "e([0-9])", "e+$1")
     fraction = F.when(_is(x, *_FRACTIONS), F.when(whole, plain).otherwise(F.when(s.contains("E"), large).otherwise(s))).otherwise(s)

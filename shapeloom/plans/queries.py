@@ -254,7 +254,7 @@ def bindings(spark, sf_dir):
     return project(_t(spark, sf_dir, "part"), {"p_partkey": "p_partkey", "doubled": "twice", "taxed": F.round("with_tax", 2)}, {"twice": J.multiply("p_retailprice", 2), "with_tax": J.multiply("twice", 1.1)})
 
 
-@_register("SELECT p_partkey, p_size * 2.0 AS called, upper(p_name) || '!' AS chained, length(upper(p_brand)) * 1.0 AS composed, substr(p_name, 2, 3) AS part FROM part")
+@_register("SELECT p_partkey, CAST(p_size * 2 AS DOUBLE) AS called, upper(p_name) || '!' AS chained, CAST(length(p_brand) AS DOUBLE) AS composed, substr(p_name, 2, 3) AS part FROM part")
 def functions_of_functions(spark, sf_dir):
     double = lambda x: J.multiply(x, 2)
     shout = lambda x: J.concat(x, F.lit("!"))
