@@ -42,28 +42,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays; rows without an id stay."""
-    kept = exact_dedup(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    sha, columns = _free(docs, "text_sha"), docs.columns
+    sha, kept_id, kept_sha, columns = *(_free(docs, c) for c in ("text_sha", "kept_id", "kept_sha")), docs.columns
+    kept = exact_dedup(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     docs = docs.withColumn(sha, F.sha2(lowered.cast("binary"), 256))
     # the join leaves the rows where dropDuplicates needs them, for rows that occur several times
-    stay = docs.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col(sha) == F.col("kept_sha"))).dropDuplicates(["doc_id", sha])
+    stay = docs.join(kept, (F.col("doc_id") == F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))).dropDuplicates(["doc_id", sha])
     return stay.select(columns).union(docs.where("doc_id is null").select(columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    gone = near_duplicates(docs, WIDTH, PERCENT).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = _free(docs, "gone")
+    dropped = near_duplicates(docs, WIDTH, PERCENT).where("not kept").select(F.col("doc_id").alias(gone))
+    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go; one without an id is known by the hash of its text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    key = _free(docs, "text_key")
+    key, gone = _free(docs, "text_key"), _free(docs, "gone")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    gone = contamination(keyed, benchmark, id_col=key).select(F.col("doc_id").alias("gone")).distinct()
-    return keyed.join(gone, F.col(key) == F.col("gone"), "left_anti").drop(key)
+    leaking = contamination(keyed, benchmark, id_col=key).select(F.col("doc_id").alias(gone)).distinct()
+    return keyed.join(leaking, F.col(key) == F.col(gone), "left_anti").drop(key)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,133 @@
+"""License scan, PII, url filter."""
+
+import re
+
+from awkward import ROWS, documents, empty
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from shapeloom.llm import license_scan as L
+from shapeloom.llm import pii as P
+from shapeloom.llm import queries as Q
+from shapeloom.llm import url_filter as U
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(map(int, reversed(digits))):
+        total += d if k % 2 == 0 else sum(divmod(2 * d, 10))
+    return total % 10 == 0
+
+
+def valid(kind, s):
+    d = re.sub("[^0-9]", "", s)
+    return {"email": True, "ip": kind == "ip" and all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in s.split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if valid(k, m[0])]
+
+
+AUTOMATON = P._automaton()
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from([*"a@.+- ()1234%é", "4111111111111111", "1.2.3.4", "255.256.1.1", "+49 (30) 123", "a@b.c", ".."]), max_size=14).map("".join))
+def test_pii_is_the_patterns(text):
+    assert [s for s in P.spans(text, AUTOMATON) if s[0] in PATTERNS] == brute(text)
+
+
+def test_pii_cues():
+    found = lambda t: {k: t[a:b] for k, a, b in P.spans(t, AUTOMATON) if k not in PATTERNS}
+    assert found("IBAN: DE89 3704 0044 0532 0130 00.") == {"iban": "DE89 3704 0044 0532 0130 00"}
+    assert found("iban DE88370400440532013000") == {}
+    assert found("his SSN 078-05-1120, x") == {"ssn": "078-05-1120"} and found("078-05-1120") == {}
+    assert found("see ftp://bob:pw@h.org/x y") == {"url": "ftp://bob:pw@h.org/x"} and found("https://h.org/x") == {}
+
+
+def test_pii_awkward(spark):
+    rows = [*ROWS, (20, "mail a@b.co or +1 (555) 123-4567", "en"), (21, "1" * 5000 + ".1.1.1 " + "a@" * 3000, "en")]
+    got = sorted(repr((r.doc_id, [(s.kind, s.start, s.end) for s in r.spans])) for r in P.find_pii(documents(spark, rows)).collect())
+    assert got == sorted(repr((i, brute(t or ""))) for i, t, _ in rows)
+    assert P.find_pii(empty(spark)).count() == 0
+
+
+def words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+
+PIECES = ["gnu", "general", "public", "license", "apache", "mit", "cc", "by", "licence", "generl", " ", "-", "É", "x", "The GNU General Public License", "MIT License", "CC BY"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map(" ".join))
+def test_license_exact_places(text):
+    w = words(text)
+    assert [x.decode() for x in L.words(text)] == w
+    exact = sorted((k, n.phrase) for n in L.NOTICES for p in [n.phrase.split()] for k in range(len(w)) if w[k : k + len(p)] == p)
+    hits = L.Scanner().scan(L.words(text))
+    assert sorted((h[2], h[1]) for h in hits if not h[4]) == exact
+    for label, phrase, first, n, edits, matched in hits:
+        assert " ".join(w[first : first + n]) == matched and edits == levenshtein(phrase, matched)
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_license_edits_are_found():
+    """Any notice with its edits spread over it, alone or among words."""
+    scan = L.Scanner()
+    for n in L.NOTICES:
+        for at in range(1, len(n.phrase) - 1) if n.edits else ():
+            if " " in n.phrase[at - 1 : at + 2]:
+                continue
+            for changed in (n.phrase[:at] + n.phrase[at + 1 :], n.phrase[:at] + "q" + n.phrase[at:], n.phrase[:at] + "q" + n.phrase[at + 1 :]):
+                got = [h for h in scan.scan(L.words(f"See the {changed} é here")) if h[1] == n.phrase]
+                assert [(h[2], h[4], h[5]) for h in got] == [(2, 1, changed)], (changed, got)
+
+
+def test_license_awkward(spark):
+    out = {r.doc_id: r for r in L.license_scan(documents(spark)).collect()}
+    assert out[3].n_words == 0 and out[3].hits == [] and out[5].n_words == 60_001
+    assert L.license_scan(empty(spark)).count() == 0
+
+
+def rule_brute(url, rules):
+    u = url or ""
+    rest = u[u.index("://") + 3 :] if "://" in u else ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h) + len(p), len(h), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
+
+
+def test_urls(spark):
+    urls = [None, "", "x", "://", "http://COM/", "http://a.com", "http://a.com/", "https://WWW.Example.com/en/1?x#y", "https://m.example.com/en/", "http://example.com/fr/", "http://a.net/es/1", "http://net/fr/", "http://xnet/fr/", "http://é.net/es/\n", "a://b://c/es/", "http://..net/es/", "http://a.net:80/es/"]
+    pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls)] + [(None, "http://b.com/", "x", "y"), (2, "x", "x", "y")], "page_id long, url string, rule string, host string")
+    got = sorted(repr(tuple(r)) for r in U.url_filter(pages, Q.URL_RULES).collect())
+    want = [(k, *rule_brute(u, Q.URL_RULES)) for k, u in [*enumerate(urls), (None, "http://b.com/"), (2, "x")]]
+    assert got == sorted(map(repr, want))
+    assert {r.verdict for r in U.url_filter(pages, [], default="block").collect()} == {"block"}
+    assert U.url_filter(pages.where(F.lit(False)), Q.URL_RULES).count() == 0
+    as_table = spark.createDataFrame(Q.URL_RULES, "action string, host string, path string")
+    assert sorted(repr(tuple(r)) for r in U.url_filter(pages, as_table).collect()) == got
+
+
+def test_url_collisions(tmp_path):
+    """Keys with equal digests are told apart by the stored strings."""
+    path = str(tmp_path / "d")
+    rules = [("allow", f"h{k}", "/") for k in range(50)] + [("block", "h7", "/x")]
+    U.DigestArray.write(path, rules)
+    array = U.DigestArray(path)
+    assert array.find([b"h3/", b"h7/x", b"no/", b"h3"]) == ["allow", "block", None, None]
+    array.digests = array.digests * 0
+    assert array.find([b"h3/", b"h7/x", b"no/"], digest=lambda k: 0) == ["allow", "block", None]
