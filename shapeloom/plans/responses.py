@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .errors import code_of_status
+
 _JSON = {"ignoreNullFields": "false"}
 
 
@@ -24,11 +26,11 @@ def http_response(status: int, value: Column, headers: Mapping[str, str] | None
 
 
 def http_error(status: int, message: str, code: str | None = None) -> Column:
-    """Of the same type as a response; its body has error, status and, if given, code."""
+    """Of the same type as a response; its body has error, status and code, which follows from the status if
+    none is given."""
     if not 400 <= status <= 599:
         raise ValueError("an error's status is 400 to 599")
-    fields = [F.lit(message).alias("error"), F.lit(status).alias("status"), *([F.lit(code).alias("code")] if code else [])]
-    return http_response(status, F.struct(*fields))
+    return http_response(status, F.struct(F.lit(message).alias("error"), F.lit(status).alias("status"), F.lit(code or code_of_status(status)).alias("code")))
 
 
 def fail(message: Column | str) -> Column:

@@ -157,6 +157,20 @@ def test_responses(spark):
         spark.range(1).select(responses.fail("stop")).collect()
 
 
+def test_errors(spark):
+    from shapeloom.plans import errors
+
+    want = {
+        None: (errors.GENERIC, "INTERNAL_ERROR"), "context deadline exceeded": ("Request timeout", "UPSTREAM_TIMEOUT"), "user_service/profile: something failed": ("something failed", "INTERNAL_ERROR"),
+        "failed to fetch https://internal.example.com/secret": ("failed to fetch [url]", "INTERNAL_ERROR"), "connection refused": ("Service temporarily unavailable", "UPSTREAM_UNAVAILABLE"),
+        "network is unreachable": ("network is unreachable", "UPSTREAM_UNAVAILABLE"), "write tcp: broken pipe": ("Service temporarily unavailable", "INTERNAL_ERROR"), "auth_service/token: ": (errors.GENERIC, "INTERNAL_ERROR"),
+        "dns server misbehaving": ("Service temporarily unavailable", "UPSTREAM_UNAVAILABLE"), "validation failed": ("validation failed", "INTERNAL_ERROR"), "context canceled": ("Request cancelled", "INTERNAL_ERROR"),
+    }
+    df = spark.createDataFrame([(k,) for k in want], "m string")
+    assert {r.m: (r.s, r.c) for r in df.select("m", errors.safe_message("m").alias("s"), errors.code_of("m").alias("c")).collect()} == want
+    assert (errors.code_of_status(400), errors.code_of_status(503)) == ("INVALID_REQUEST", "INTERNAL_ERROR")
+
+
 def test_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(1, 5.0), (2, 50.0), (3, None)], "id int, v double").write.parquet(source)
