@@ -37,7 +37,7 @@ MOST_REPETITIONS = 32
 #: A word in more than this share of the items isn't rare.
 COMMON = 0.05
 #: Bytes of text at a time, and windows embedded at a time.
-CHUNK, WINDOWS = 4 << 20, 2048
+CHUNK, WINDOWS = 2 << 20, 2048
 _TABLE = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 

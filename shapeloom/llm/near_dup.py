@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
 
     members = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
-    shared = members.join(hubs, "key").groupBy("rep").agg(F.collect_list(F.struct("band", "hub")).alias("hubs"))
+    shared = members.join(scratch.apart(hubs), "key").groupBy("rep").agg(F.collect_list(F.struct("band", "hub")).alias("hubs"))
     shared = scratch.table(shared, "near-shared")
     ids = shared.select("rep")
     ids = F.broadcast(ids) if 8 * ids.count() <= BROADCAST_BYTES else ids
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
     block = lambda of: F.pmod(F.xxhash64("rep", "hub"), F.greatest(F.col(of), F.lit(1))).cast("int")
     pairs = near.select("rep", "n", F.array_min("hubs.hub").alias("hub")).where("hub < rep")
     loads = pairs.groupBy("hub").agg(load("blocks"))
-    to_hub = pairs.join(loads, "hub").select("rep", "hub", block("blocks").alias("block"), F.lit(True).alias("member"))
+    to_hub = pairs.join(scratch.apart(loads), "hub").select("rep", "hub", block("blocks").alias("block"), F.lit(True).alias("member"))
     of_hub = loads.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"))
     work = to_hub.union(of_hub).join(near.select("rep", "sig", "text"), "rep")
     work = work.repartition("hub", "block").sortWithinPartitions("hub", "block", "member")
@@ -292,9 +292,10 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
     first = connected_components(stars)
     comps = near.select("rep", "n", F.explode(F.array_distinct("hubs.hub")).alias("hub")).join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     of_hub = comps.where("rep = hub").select("hub", F.col("component").alias("hub_component")).distinct()
-    placed = comps.join(of_hub, "hub").withColumn("main", F.col("component") == F.col("hub_component"))
+    placed = comps.join(scratch.apart(of_hub), "hub").withColumn("main", F.col("component") == F.col("hub_component"))
+    placed = scratch.table(placed, "near-placed")
     loads = placed.groupBy("hub", "main").agg(load("blocks")).groupBy("hub").agg(F.max(F.when(~F.col("main"), F.col("blocks"))).alias("others"), F.max(F.when(F.col("main"), F.col("blocks"))).alias("mains")).where("others is not null")
-    placed = placed.join(loads, "hub").withColumn("own", F.when(F.col("main"), block("mains")).otherwise(block("others")))
+    placed = placed.join(scratch.apart(loads), "hub").withColumn("own", F.when(F.col("main"), block("mains")).otherwise(block("others")))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     base = ("rep", "hub", "component")
     # others of block i meet main members of block j; others of blocks i <= j meet each other

@@ -44,6 +44,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """An aggregate that is joined with what it was made from, kept from sharing that shuffle: only between
+    shuffles of its own can AQE split a join's hot key."""
+    return df.hint("rebalance")
+
+
 def release() -> None:
     """Delete every table written so far.  Only when no result that reads them is still to be computed."""
     while _held:

@@ -13,7 +13,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Polynomial hashes are sound for words of usual length; longer ones are hashed by xxhash.
 _LONG = 200
 #: Bytes of text that are hashed at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
