@@ -220,8 +220,8 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = ARCH
     payload = F.coalesce("html", F.lit(""))
     pages = pages.withColumn("sha", F.unhex(F.sha2(payload.cast("binary"), 256)))
     large = F.octet_length(payload) >= least_bytes
-    first = pages.where(large).groupBy("sha").agg(F.max("page_id").alias("of"))
-    placed = pages.join(first, "sha", "left").withColumn("revisit", large & F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("of")))
+    first = pages.where(large).groupBy("sha").agg(F.max("page_id").alias("of"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = pages.join(scratch.apart(first), "sha", "left").withColumn("revisit", large & F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("of")))
     placed = placed.select("page_id", "url", "html", F.when(F.col("revisit"), F.col("of")).alias("refers_to"), "revisit")
     folder = scratch.new_path(pages.sparkSession, "warc")
     return scratch.table(placed.mapInArrow(_write(folder, archive_bytes), "path string, records long"), "warc-manifest")
