@@ -3,7 +3,7 @@
 Texts are lower-cased, everything but letters becomes single spaces, and the n-grams of 1 to 3 characters are
 hashed into ``BUCKETS`` features.  A feature's value is (1 + log count) x idf, texts are scaled to length 1.
 Document frequencies are counted over all training rows.  The weights are fitted on a bounded sample of them,
-``PER_LANGUAGE`` rows of a language, by follow-the-regularised-leader with an elastic-net penalty, so most
+``SAMPLE_ROWS`` in all and as many of each language, by follow-the-regularised-leader with an elastic-net penalty, so most
 weights are zero; a quarter of the sample is set aside to calibrate the temperature of the probabilities.
 """
 
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 1 << 15
-#: Rows of a language that the weights are fitted on (by the hash of their ids; about so many), and the most
-#: languages that can be learned.
-PER_LANGUAGE, LANGUAGES = 1500, 500
+#: Rows that the weights are fitted on (about so many, those with the smallest hashes of their ids; languages
+#: share them evenly), and the most languages that can be learned.
+SAMPLE_ROWS, LANGUAGES = 6000, 500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 UNDETERMINED = "und"
@@ -60,7 +60,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, counts = features(text)
     v = (1 + np.log(counts)) * idf[at]
-    return at, v / max(1e-12, float(np.sqrt(v @ v)))
+    return at.astype(np.int32), (v / max(1e-12, float(np.sqrt(v @ v)))).astype(np.float32)
 
 
 @dataclass
@@ -109,11 +109,10 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(rows: list[tuple[str, str]], idf: np.ndarray) -> Model:
-    """rows: (text, language), in a fixed order."""
-    languages = sorted({lang for _, lang in rows})
-    vectors = [(*vector(text, idf), languages.index(lang)) for text, lang in rows]
-    vectors = [x for x in vectors if len(x[0])]
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray) -> Model:
+    """rows: features, values and language, in a fixed order."""
+    languages = sorted({lang for *_, lang in rows})
+    vectors = [(at, v, languages.index(lang)) for at, v, lang in rows if len(at)]
     aside, used = vectors[::4], [x for k, x in enumerate(vectors) if k % 4]
     ftrl = Ftrl(BUCKETS, len(languages))
     for _ in range(EPOCHS):
@@ -149,7 +148,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fit(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(r["text"], r["lang"]) for b in batches for r in b.to_pylist()]
+        # texts go as soon as their features are there
+        rows = [(*vector(text.as_py(), idf), lang) for b in batches for text, lang in zip(b.column(0), b.column(1).to_pylist())]
         if rows:
             m = fit(rows, idf)
             yield pa.RecordBatch.from_arrays([pa.array([m.languages], pa.list_(pa.string())), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias.tobytes()], pa.binary()), pa.array([m.temperature])], ["languages", "weights", "bias", "temperature"])
@@ -157,7 +157,7 @@ def _fit(idf: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the rows of ``docs`` that have an id, a text and a language.
 
     What comes to the driver is bounded by the number of features: their document frequencies and weights.
@@ -173,11 +173,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         idf[at] -= np.log1p(np.fromiter(df.values(), np.int64, len(df)))
     if not counts:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0)
-    # the rows with the smallest hashes of a language: a share of its rows that gives about per_language
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))
+    # the rows with the smallest hashes of a language: a share of its rows that gives about as many of each
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_rows / len(counts) / n))))
     h = F.xxhash64(F.col("id").cast("string"), F.lit("sample"))
     sample = rows.where(F.pmod(h, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    sample = sample.orderBy(h, "id", "text").limit(2 * per_language * len(counts)).select("text", "lang")
+    sample = sample.orderBy(h, "id", "text").limit(2 * sample_rows).select("text", "lang")
     m = sample.coalesce(1).mapInArrow(_fit(idf), "languages array<string>, weights binary, bias binary, temperature double").first()
     return Model(list(m.languages), idf, np.frombuffer(m.weights, np.float32).reshape(BUCKETS, -1), np.frombuffer(m.bias, np.float32), m.temperature)
 
@@ -202,7 +202,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learned from the rows that aren't held out.  Rows with a null id, text or language aren't learned from,
@@ -210,5 +210,5 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty table gives an empty result, other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = train(rows.where(~held_out()), "doc_id", "text", "lang", per_language)
+    model = train(rows.where(~held_out()), "doc_id", "text", "lang", sample_rows)
     return predict(rows.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
