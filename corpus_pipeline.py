@@ -20,6 +20,8 @@ from shapeloom.llm.queries import vocabulary
 
 #: A document whose language is less probable than this is rejected.
 LEAST_SCORE = 0.5
+#: Keys of at most so many bytes are broadcast to leave their documents out; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Near duplicates: runs of so many words, and percent of them in common.
 WIDTH, PERCENT = 5, 80
 
@@ -32,6 +34,15 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _join(docs: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``docs`` whose columns ``on`` are (left_semi) or aren't (left_anti) among ``keys``, which are written."""
+    names = [_free(docs, f"key_{k}") for k in range(len(on))]
+    keys = keys.toDF(*names)
+    small = 100 * keys.count() <= BROADCAST_BYTES
+    condition = [F.col(a) == F.col(b) for a, b in zip(on, names)]
+    return docs.join(F.broadcast(keys) if small else keys, condition, how)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language that is probable, go."""
     model = train(docs.where(~held_out()))
@@ -42,29 +53,32 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays; rows without an id stay."""
-    sha, kept_id, kept_sha, columns = *(_free(docs, c) for c in ("text_sha", "kept_id", "kept_sha")), docs.columns
-    kept = exact_dedup(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    sha, columns = _free(docs, "text_sha"), docs.columns
+    rows = exact_dedup(docs).where("doc_id is not null").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    rows = scratch.table(rows.where("not kept or n > 1"), "exact-rows")
     lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    docs = docs.withColumn(sha, F.sha2(lowered.cast("binary"), 256))
-    # the join leaves the rows where dropDuplicates needs them, for rows that occur several times
-    stay = docs.join(kept, (F.col("doc_id") == F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))).dropDuplicates(["doc_id", sha])
-    return stay.select(columns).union(docs.where("doc_id is null").select(columns))
+    stay = _join(docs.withColumn(sha, F.sha2(lowered.cast("binary"), 256)), rows.where("not kept").select("doc_id", "text_sha256"), ["doc_id", sha], "left_anti")
+    repeated = rows.where("kept").select("doc_id", "text_sha256")
+    if repeated.isEmpty():
+        return stay.select(columns)
+    # rows that occur several times, with their ids
+    once = _join(stay, repeated, ["doc_id", sha], "left_semi").dropDuplicates(["doc_id", sha])
+    return _join(stay, repeated, ["doc_id", sha], "left_anti").select(columns).union(once.select(columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    gone = _free(docs, "gone")
-    dropped = near_duplicates(docs, WIDTH, PERCENT).where("not kept").select(F.col("doc_id").alias(gone))
-    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
+    dropped = near_duplicates(docs, WIDTH, PERCENT).where("not kept").select("doc_id")
+    return _join(docs, scratch.table(dropped, "near-dropped"), ["doc_id"], "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go; one without an id is known by the hash of its text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    key, gone = _free(docs, "text_key"), _free(docs, "gone")
+    key = _free(docs, "text_key")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    leaking = contamination(keyed, benchmark, id_col=key).select(F.col("doc_id").alias(gone)).distinct()
-    return keyed.join(leaking, F.col(key) == F.col(gone), "left_anti").drop(key)
+    leaking = contamination(keyed, benchmark, id_col=key).select("doc_id").distinct()
+    return _join(keyed, scratch.table(leaking, "leaking"), [key], "left_anti").drop(key)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
