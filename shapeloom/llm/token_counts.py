@@ -23,7 +23,7 @@ from .bpe import _Remember
 
 MARK = "▁"
 #: Nodes after which a worker's trie starts anew.
-NODES = 200_000
+NODES = 400_000
 
 
 def unigram_scores(path: str) -> dict[str, float]:
@@ -38,8 +38,9 @@ def unigram_scores(path: str) -> dict[str, float]:
 
 class CountingTrie:
     def __init__(self, scores: dict[str, float], nodes: int = NODES) -> None:
-        self.scores, self.most = scores, nodes
-        self.longest = max(map(len, scores))
+        self.most = nodes
+        #: by each end of a piece: the score, if it is a piece itself
+        self.ends: dict[str, float | None] = {p[k:]: None for p in scores for k in range(len(p))} | scores
         self.byte = min(scores.values()) - 10
         self.clear()
 
@@ -51,7 +52,7 @@ class CountingTrie:
         """Tokens and log-probability of the best segmentation of a pre-token."""
         if len(self.forward) > self.most:
             self.clear()
-        path, child, forward, count, scores = [0], self.child, self.forward, self.count, self.scores
+        path, child, forward, count, ends = [0], self.child, self.forward, self.count, self.ends
         for d, c in enumerate(word, 1):
             at = path[-1] << 21 | ord(c)
             node = child.get(at)
@@ -59,8 +60,11 @@ class CountingTrie:
                 # a single character without a piece falls back to its bytes
                 n = len(c.encode())
                 best, tokens = forward[path[-1]] + n * self.byte, count[path[-1]] + n
-                for k in range(max(0, d - self.longest), d):
-                    if (s := scores.get(word[k:d])) is not None and (s := forward[path[k]] + s) > best:
+                for k in range(d - 1, -1, -1):
+                    s = ends.get(word[k:d], 0.0)
+                    if s == 0.0:  # no piece ends like this, nor with more in front
+                        break
+                    if s is not None and (s := forward[path[k]] + s) >= best:
                         best, tokens = s, count[path[k]] + 1
                 node = child[at] = len(forward)
                 forward.append(best)
@@ -69,15 +73,15 @@ class CountingTrie:
         return count[path[-1]], forward[path[-1]]
 
 
-_MODELS: dict[str, _Remember] = {}
+_MODELS: dict[str, dict[str, float]] = {}
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _MODELS:
-            trie = CountingTrie(unigram_scores(path))
-            _MODELS[path] = _Remember(lambda w: trie.insert(MARK + w))
-        known = _MODELS[path]
+            _MODELS[path] = unigram_scores(path)
+        trie = CountingTrie(_MODELS[path])
+        known = _Remember(lambda w: trie.insert(MARK + w))
         for batch in batches:
             n_words, n_tokens, score = [], [], []
             for value in batch.column(1):
