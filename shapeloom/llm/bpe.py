@@ -54,6 +54,10 @@ class _Remember(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 class WordBpe:
     def __init__(self, path: str) -> None:
@@ -77,6 +81,11 @@ class WordBpe:
         self.words: _Remember = _Remember(self.word)
         self.short: _Remember = _Remember(self.piece)
 
+    def forget(self) -> None:
+        """Workers live on after a task; what it has remembered need not."""
+        self.words.forget()
+        self.short.forget()
+
     def symbols(self, piece: str) -> list[int]:
         """Ids of a piece's letters; the last ends the word."""
         s = piece.encode().decode("latin-1").translate(self.letters)
@@ -189,6 +198,7 @@ def _encode(path: str, with_ids: bool):
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 yield _batch(part.column(0), [_row(bpe, bpe.encode(t.as_py() or ""), with_ids) for t in part.column(1)])
+        bpe.forget()
 
     return run
 

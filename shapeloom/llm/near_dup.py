@@ -35,7 +35,7 @@ from .textops import chunks, hash_words, mix, shingles
 HASHES = 160
 BAND_MISS = 1e-5
 BATCH = 32
-#: Ids of at most so many bytes are broadcast; more are joined by a shuffle.
+#: Ids of at most so many bytes (32 each, in a hash table) are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Most members and most shingles (8 bytes each) of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
     shared = members.join(scratch.apart(hubs), "key").groupBy("rep").agg(F.collect_list(F.struct("band", "hub")).alias("hubs"))
     shared = scratch.table(shared, "near-shared")
     ids = shared.select("rep")
-    ids = F.broadcast(ids) if 8 * ids.count() <= BROADCAST_BYTES else ids
+    ids = F.broadcast(ids) if 32 * ids.count() <= BROADCAST_BYTES else ids
     few = lambda df: df.join(ids, df.doc_id == ids.rep, "left_semi").withColumnRenamed("doc_id", "rep")
     near = shared.join(few(named.select("doc_id", "n", "sig")), "rep").join(few(docs), "rep")
     near = scratch.table(near, "near-texts")
