@@ -18,8 +18,9 @@ from shapeloom.llm.langid import UNDETERMINED, held_out, predict, train
 from shapeloom.llm.near_dup import near_duplicates
 from shapeloom.llm.queries import vocabulary
 
-#: A document whose language is less probable than this is rejected.
-LEAST_SCORE = 0.5
+#: A document whose best language is less probable than this is rejected: hardly more than by chance, since short
+#: and mixed but clean texts often stay below one half.
+LEAST_SCORE = 0.3
 #: Keys of at most so many bytes are broadcast to leave their documents out; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Near duplicates: runs of so many words, and percent of them in common.
