@@ -86,3 +86,20 @@ def validate(requests: DataFrame, rules: list[Rule], column: str = "error") -> D
     """``requests`` with an error struct (error, status, code), or NULL."""
     message = first_failure(rules)
     return requests.withColumn(column, F.when(message.isNotNull(), F.struct(message.alias("error"), F.lit(400).alias("status"), F.lit("VALIDATION_ERROR").alias("code"))))
+
+
+def operation_rules(operation: Mapping[str, Any], components: Mapping[str, Any] | None = None) -> list[Rule]:
+    """Rules of an OpenAPI operation over a requests DataFrame: its header, query, path and cookie parameters in
+    their order, then its JSON body."""
+    components = components or {}
+    columns = {"header": "headers", "query": "query", "path": "params", "cookie": "cookies"}
+    rules = []
+    for p in operation.get("parameters", ()):
+        x, name = F.col(columns[p["in"]])[p["name"]], f"{p['in']} {p['name']}"
+        if p.get("required"):
+            rules.append(required(x, name))
+        rules += constraints(x, name, resolve(p.get("schema", {}), components))
+    if request_body := operation.get("requestBody"):
+        content = request_body.get("content", {}).get("application/json", {})
+        rules += body_rules(F.col("body"), resolve(content.get("schema", {}), components), bool(request_body.get("required")))
+    return rules

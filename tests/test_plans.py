@@ -126,6 +126,16 @@ def test_validation(requests):
     assert only_body == {1: None, 2: "body is not an object", 3: "body.name is required", 4: "body is required"}
 
 
+def test_operation(requests):
+    operation = {
+        "parameters": [{"in": "header", "name": "Authorization", "required": True}, {"in": "query", "name": "page", "schema": {"$ref": "#/components/schemas/Page"}}],
+        "requestBody": {"required": True, "content": {"application/json": {"schema": {"required": ["email", "name"]}}}},
+    }
+    rules = validation.operation_rules(operation, {"Page": {"type": "integer", "minimum": 1}})
+    got = {r.request_id: r.error and r.error.error for r in validation.validate(requests, rules).collect()}
+    assert got == {1: None, 2: "header Authorization is required", 3: "query page breaks minimum 1", 4: "query page is not of type integer"}
+
+
 def test_constraints(spark):
     df = spark.createDataFrame([("é", "a@b", "red"), ("long text", "no", "blue")], "a string, e string, c string")
     rules = lambda x, s: [bool(r[0]) for r in df.select(validation.first_failure(validation.constraints(F.col(x), x, s)).isNotNull()).collect()]
