@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
+_SPACE = re.compile(rb"[ \t-\r]")
 _P = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Polynomial hashes are sound for words of usual length; longer ones are hashed by xxhash.
@@ -26,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         for k, p in enumerate((_P, pow(_P, -1, 1 << 64))):
-            table = np.full(n + CHUNK, p, np.uint64)
+            table = np.full(max(n, CHUNK + (1 << 16)), p, np.uint64)
             table[0] = 1
             _POWERS[k] = np.multiply.accumulate(table)
     return _POWERS[0], _POWERS[1]
@@ -34,7 +36,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (between ASCII white space) of all texts, and each text's first word, with
-    the number of words at the end."""
+    the number of words at the end.  ``CHUNK`` bytes are hashed at a time; longer texts are cut between words."""
+    hashes, counts, lo, total = [], [], 0, 0
+    for hi, text in enumerate([*texts, None]):
+        if hi > lo and (text is None or total + len(text) > CHUNK):
+            if total > CHUNK:  # one long text
+                parts = [_hash_chunk([x])[0] for x in _segments(texts[lo])]
+                hashes += parts
+                counts.append(sum(map(len, parts)))
+            else:
+                h, first = _hash_chunk(texts[lo:hi])
+                hashes.append(h)
+                counts += np.diff(first).tolist()
+            lo, total = hi, 0
+        total += len(text or b"")
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.cumsum([0, *counts])
+
+
+def _segments(text: bytes) -> Iterator[bytes]:
+    lo = 0
+    while lo < len(text):
+        m = _SPACE.search(text, lo + CHUNK)
+        hi = m.end() if m else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
+def _hash_chunk(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = b" " + b" ".join(texts) + b" "
     raw = np.frombuffer(data, np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))

@@ -12,6 +12,7 @@ for each of its UTF-8 bytes, each 10 below the least probable piece.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from math import log
 
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _Remember
+from .bpe import REMEMBERED, _Remember
 
 MARK = "▁"
 #: Nodes after which a worker's trie starts anew.
 NODES = 400_000
+#: Characters of a pre-token that is neither put in the trie nor remembered.
+LONG = 1000
 
 
 def unigram_scores(path: str) -> dict[str, float]:
@@ -42,6 +45,7 @@ class CountingTrie:
         #: by each end of a piece: the score, if it is a piece itself
         self.ends: dict[str, float | None] = {p[k:]: None for p in scores for k in range(len(p))} | scores
         self.byte = min(scores.values()) - 10
+        self.longest = max(map(len, scores))
         self.clear()
 
     def clear(self) -> None:
@@ -50,6 +54,8 @@ class CountingTrie:
 
     def insert(self, word: str) -> tuple[int, float]:
         """Tokens and log-probability of the best segmentation of a pre-token."""
+        if len(word) > LONG:
+            return self._long(word)
         if len(self.forward) > self.most:
             self.clear()
         path, child, forward, count, ends = [0], self.child, self.forward, self.count, self.ends
@@ -73,6 +79,22 @@ class CountingTrie:
         return count[path[-1]], forward[path[-1]]
 
 
+    def _long(self, word: str) -> tuple[int, float]:
+        """The same without nodes: only the scores that a piece can reach back to are held."""
+        reach = deque([(0.0, 0)], self.longest)
+        for d, c in enumerate(word, 1):
+            n = len(c.encode())
+            best, tokens = reach[-1][0] + n * self.byte, reach[-1][1] + n
+            for k in range(1, len(reach) + 1):
+                s = self.ends.get(word[d - k : d], 0.0)
+                if s == 0.0:
+                    break
+                if s is not None and (s := reach[-k][0] + s) >= best:
+                    best, tokens = s, reach[-k][1] + 1
+            reach.append((best, tokens))
+        return reach[-1][1], reach[-1][0]
+
+
 _MODELS: dict[str, dict[str, float]] = {}
 
 
@@ -81,13 +103,13 @@ def _count(path: str):
         if path not in _MODELS:
             _MODELS[path] = unigram_scores(path)
         trie = CountingTrie(_MODELS[path])
-        known = _Remember(lambda w: trie.insert(MARK + w))
+        known = _Remember(lambda w: trie.insert(MARK + w), 2 * REMEMBERED)
         for batch in batches:
             n_words, n_tokens, score = [], [], []
             for value in batch.column(1):
                 words = (value.as_py() or "").split()
-                if max(map(len, words), default=0) > 1000:  # too long to be remembered
-                    got = [known[w] if len(w) <= 1000 else known.compute(w) for w in words]
+                if max(map(len, words), default=0) > LONG:
+                    got = [known[w] if len(w) <= LONG else known.compute(w) for w in words]
                 else:
                     got = list(map(known.__getitem__, words))
                 n, s = zip(*got) if got else ((), ())

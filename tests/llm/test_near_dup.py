@@ -101,6 +101,21 @@ def test_signatures_estimate():
     assert abs((sig[0] == sig[1]).mean() - 1500 / 2500) < 0.06
 
 
+def test_word_hashes_in_chunks(monkeypatch):
+    """Texts cut into chunks and segments hash as they do whole."""
+    from shapeloom.llm import textops as X
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["ab", " ", "\t", "é", "xyz", " \n"]) for _ in range(rng.randrange(0, 60))).encode() for _ in range(80)] + [b"q" * 300, b"", b"a " * 200]
+    whole = X.hash_words(texts)
+    assert whole[1].tolist() == np.cumsum([0, *(len(t.split()) for t in texts)]).tolist()
+    assert len({*whole[0].tolist()}) == len({w for t in texts for w in t.split()})
+    monkeypatch.setattr(X, "CHUNK", 50)
+    parts = X.hash_words(texts)
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+    assert X.hash_words([])[0].size == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, 3), (3, 9), (9, 7), (5, 5), (900, 1), (1, 800)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -114,6 +114,14 @@ def test_trie_shares_prefixes():
     assert len(shared.forward) == before + 1
 
 
+def test_long_pre_tokens(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(300):
+        w = C.MARK + "".join(rng.choice(["th", "e", "an", "漢", "😀", "x", "ing", "ation"]) for _ in range(rng.randrange(0, 40)))
+        trie = C.CountingTrie(SCORES)
+        assert trie._long(w) == pytest.approx(trie.insert(w))
+
+
 def test_count_documents(spark):
     trie = C.CountingTrie(SCORES)
     got = {r.doc_id: r for r in C.token_counts(documents(spark), PIECES).collect() if r.doc_id is not None}
