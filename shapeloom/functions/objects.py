@@ -76,6 +76,27 @@ def parse(text: ColumnLike) -> Column:
     return F.when(~F.is_variant_null(v), v)
 
 
+def document_type(document: ColumnLike) -> Column:
+    """As type_of, of a VARIANT: by what each row holds."""
+    document = col(document)
+    held = F.schema_of_variant(document)
+    return (
+        F.when(document.isNull() | (held == "VOID"), "null").when(held == "BOOLEAN", "boolean").when(held == "STRING", "string").when(held.startswith("ARRAY"), "array")
+        .when(held.startswith("OBJECT"), "object").when(held.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), "number").otherwise("undefined")
+    )
+
+
+def document_keys(document: ColumnLike) -> Column:
+    """Sorted keys of a VARIANT object; NULL of anything else."""
+    return json_keys(F.to_json(col(document)))
+
+
+def document_values(document: ColumnLike) -> Column:
+    """Values of a VARIANT object as VARIANT, in the order of their sorted keys."""
+    entries = F.try_variant_get(col(document), "$", "map<string,variant>")
+    return F.when(document_type(document) == "object", F.transform(keys(entries), lambda k: entries[k]))
+
+
 def extract(document: ColumnLike, path: str, kind: str = "string") -> Column:
     """As lookup, but a step that isn't there fails the query.  Of no document, or null, the value is NULL."""
     document = col(document)
