@@ -22,7 +22,8 @@ def aggregate_children(parents: DataFrame, children: DataFrame, parent_key: str,
         made.append(_AGGREGATES[kind](number).cast("double").alias(name))
     grouped = children.groupBy(F.col(child_key).alias("__key")).agg(*made)
     joined = parents.join(grouped, F.col(parent_key) == F.col("__key"), "left").drop("__key")
-    return joined.fillna(0.0, list(fields))
+    # not fillna, which would also replace NaN
+    return joined.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in fields})
 
 
 def nest(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, name: str, order: str) -> DataFrame:
