@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 FANOUT = 16
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 _HEAD = struct.Struct("<QqqqQ")
 
 
@@ -174,7 +174,7 @@ def _local(table_bytes: int):
     return run
 
 
-def _cuts(sizes: list[int], most: int = 16 << 20, rows: int = 20_000) -> Iterator[tuple[int, int]]:
+def _cuts(sizes: list[int], most: int = 4 << 20, rows: int = 20_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows that are small enough for one Arrow batch."""
     lo = total = 0
     for hi, size in enumerate(sizes):

@@ -93,12 +93,13 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 def chunks(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most ``size`` bytes of text (or one text), and their texts; null is empty."""
     for batch in batches:
-        texts = [t.as_py() or b"" for t in batch.column(column).cast(pa.binary())]
-        lo = total = 0
-        for hi, t in enumerate(texts):
-            if hi > lo and total + len(t) > size:
-                yield batch.slice(lo, hi - lo), texts[lo:hi]
-                lo, total = hi, 0
-            total += len(t)
-        if lo < len(texts):
-            yield batch.slice(lo), texts[lo:]
+        lo, texts, total = 0, [], 0
+        for hi, value in enumerate(batch.column(column).cast(pa.binary())):
+            text = value.as_py() or b""
+            if texts and total + len(text) > size:
+                yield batch.slice(lo, hi - lo), texts
+                lo, texts, total = hi, [], 0
+            texts.append(text)
+            total += len(text)
+        if texts:
+            yield batch.slice(lo), texts
