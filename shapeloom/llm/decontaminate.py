@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .textops import hash_words, mix
 
-#: Items searched for in one pass over the documents; more are searched for in further passes.
-BLOCK_ITEMS = 20_000
+#: Items, and bytes of their texts, searched for in one pass over the documents; more take further passes.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 CLASSES = 8
 #: Steps of a walk, steps sampled of them, and words between the stretches of an item.
 STEPS, SAMPLED, STRIDE = 24, 3, 3
@@ -251,7 +251,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, reca
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    blocks = max(1, ceil(items.count() / block_items))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, ceil(n / block_items), ceil(size / BLOCK_BYTES))
     out = None
     for k in range(blocks):
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").collect()]
