@@ -2,15 +2,17 @@
 
 Texts are reduced to lower-case words joined by single spaces.  A notice that may differ by k edits is cut
 into k + 1 pieces, one of which must occur unchanged (pigeonhole); the places of the pieces are the
-candidates, and the regex library's bounded-error matching verifies the text around each, from word to word,
-and reports the span with its number of edits.
+candidates, and the regex library's bounded-error matching verifies the text from each word that a candidate may
+begin with, up to the end of a word, and reports the span with its number of edits.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -57,8 +59,9 @@ class Scanner:
         with edits that overlap no exact place of the same notice."""
         text = b" " + b" ".join(tokens) + b" "
         out = []
+        spaces = None
         for n, exact, seeds, fuzzy in self.notices:
-            spans: list[tuple[int, int]] = []
+            spans: list[tuple[int, int]] = []  # sorted
             at, word, seen = text.find(exact), 0, 0
             while at >= 0:
                 word, seen = word + text.count(b" ", seen, at), at
@@ -68,23 +71,31 @@ class Scanner:
             if fuzzy is None or not any(s in text for s, _ in seeds):
                 continue
             places: dict[tuple[int, int], int] = {}
-            reach = 4 * (len(n.phrase) + n.edits)  # bytes: a character has four at most
+            tried: set[int] = set()
+            reach = 4 * (len(n.phrase) + n.edits) + 2  # bytes: a character has four at most
             for seed, offset in seeds:
                 at = text.find(seed)
                 while at >= 0:
-                    start = at - offset  # where the notice begins but for its edits
-                    if not any(a - n.edits <= start <= a + n.edits for a, _ in spans[-1:]):
-                        lo = text.rfind(b" ", 0, max(1, start - 4 * n.edits))
-                        lo = max(lo, start - reach, 0)
-                        for m in fuzzy.finditer(text[lo : start + reach].decode(errors="ignore"), overlapped=True):
-                            a = lo + len(m.string[: m.start()].encode())
-                            span, edits = (a, a + len(m.group().encode())), sum(m.fuzzy_counts)
-                            places[span] = min(edits, places.get(span, edits))
+                    # where the notice begins but for its edits, which may have put in or taken out characters
+                    start = at - offset
+                    a = text.find(b" ", max(0, start - 4 * n.edits - 1), start + n.edits) + 1
+                    while a:
+                        k = bisect_left(spans, (a + 1, 0))
+                        if a not in tried and not (k and a < spans[k - 1][1]):  # in no exact place
+                            tried.add(a)
+                            if m := fuzzy.match(text[a - 1 : a + reach].decode(errors="ignore"), 1):
+                                places[a, a + len(m.group().encode())] = sum(m.fuzzy_counts)
+                        a = text.find(b" ", a, start + n.edits) + 1
                     at = text.find(seed, at + 1)
+            if places and spaces is None:
+                spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
             for edits, (a, b) in sorted((e, ab) for ab, e in places.items()):
-                if not any(a < y and x < b for x, y in spans):
-                    spans.append((a, b))
-                    out.append((n.label, n.phrase, text.count(b" ", 0, a) - 1, text.count(b" ", a, b) + 1, edits, text[a:b].decode()))
+                # no span is longer than reach, so only those that begin in between can overlap
+                near = spans[bisect_left(spans, (a - reach, 0)) : bisect_left(spans, (b, 0))]
+                if not any(a < y and x < b for x, y in near):
+                    insort(spans, (a, b))
+                    word = int(np.searchsorted(spaces, a)) - 1
+                    out.append((n.label, n.phrase, word, text.count(b" ", a, b) + 1, edits, text[a:b].decode()))
         return sorted(out, key=lambda x: (x[2], x[1]))
 
 

@@ -95,6 +95,47 @@ def test_license_edits_are_found():
                 assert [(h[2], h[4], h[5]) for h in got] == [(2, 1, changed)], (changed, got)
 
 
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def _notices_by_brute_force(tokens):
+    """(phrase, first word, edits): every run of words against every notice, those with fewest edits first."""
+    texts, out = [t.decode() for t in tokens], set()
+    for n in L.NOTICES:
+        fits, taken = [], []
+        for i in range(len(texts)):
+            ends = range(i + 1, min(len(texts), i + 8) + 1)
+            near = [(d, i, j) for j in ends if abs(len(t := " ".join(texts[i:j])) - len(n.phrase)) <= n.edits and (d := _edit_distance(n.phrase, t)) <= n.edits]
+            fits += [min(near)] if near else []
+        for d, i, j in sorted(fits):
+            if d == 0 or not any(i < y and x < j for x, y in taken):
+                taken.append((i, j))
+                out.add((n.phrase, i, d))
+    return out
+
+
+EDITED = ["gnu generel public licens", "gnu géneral public license", "mit licens", "bsd licence", "mozila public license", "apach license", "creative commons atribution"]
+
+
+@given(st.lists(st.sampled_from(PIECES[:10] + PIECES[-4:] + EDITED), max_size=20))
+@settings(max_examples=150, deadline=None)
+def test_license_places_stand_side_by_side(parts):
+    tokens = L.words(" ".join(parts))
+    assert {(h[1], h[2], h[4]) for h in L.Scanner().scan(tokens)} == _notices_by_brute_force(tokens)
+
+
+def test_license_repeated_in_a_long_text():
+    unit = L.words("gnu generel public licens, GNU General Public License and more")
+    hits = [h for h in L.Scanner().scan(unit * 5000) if h[0] == "gpl"]
+    assert [(h[2], h[4]) for h in hits] == [(10 * k + w, e) for k in range(5000) for w, e in ((0, 2), (4, 0))]
+
+
 def test_license_awkward(spark):
     out = {r.doc_id: r for r in L.license_scan(documents(spark)).collect()}
     assert out[3].n_words == 0 and out[3].hits == [] and out[5].n_words == 60_001
