@@ -78,7 +78,6 @@ class CountingTrie:
             path.append(node)
         return count[path[-1]], forward[path[-1]]
 
-
     def _long(self, word: str) -> tuple[int, float]:
         """The same without nodes: only the scores that a piece can reach back to are held."""
         reach = deque([(0.0, 0)], self.longest)
