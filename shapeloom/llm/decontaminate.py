@@ -1,24 +1,17 @@
 """Benchmark passages in documents, with a share of their words edited.
 
-Texts are words (letters and digits, lower-cased).  The CGK embedding walks over a word sequence and, at each
-step, writes down the word it stands on and moves on if a random bit of (step, word) says so; both sides of an
-edit soon walk in step again, so edit distance becomes Hamming distance.  As many edits as are allowed here
-would leave little of one long walk in step, so an item is walked in short stretches, a new one every few
-words; a document is walked from each word of its item-sized windows.  A repetition samples some steps: where
-a document's words at these steps are those of a stretch, the item is a candidate at that alignment.  The
-number of repetitions of a class of items follows from the chance that one finds a copy with all the edits
-allowed, measured on edited copies of the class's own items, so that ``recall`` is reached.  Candidates are
-verified by exact edit distance (bit-parallel, the item anywhere in the window and what edits can add to it).
-
-Windows that can't be within the edits are passed over before they are walked: an item of n words with k
-edits keeps n - k of its words, and of its rare words all but k, so the window must hold that many words of
-the class's vocabulary and of its rare words.
+Texts are words (letters and digits, lower-cased).  An item that may have k edits is cut into k + 1 pieces, one
+of which stands unchanged in every copy, wherever the edits are: an edit touches one piece.  The first words of
+the pieces are seeds; where a document has the words of one, the item is a candidate at that alignment.  Nothing
+is sampled, so every copy within the edits is found.  Candidates whose words are too few of the item's are passed
+over; the others are verified by exact edit distance (bit-parallel, the item anywhere in the window and what
+edits can add to it).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +23,10 @@ from .textops import hash_words, mix
 
 #: Items, and bytes of their texts, searched for in one pass over the documents; more take further passes.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
-CLASSES = 8
-#: Steps of a walk, steps sampled of them, and words between the stretches of an item.
-STEPS, SAMPLED, STRIDE = 24, 3, 3
-MOST_REPETITIONS = 32
-#: A word in more than this share of the items isn't rare.
-COMMON = 0.05
-#: Bytes of text at a time, and windows embedded at a time.
-CHUNK, WINDOWS = 2 << 20, 2048
+#: Words of a piece that are looked up, at most.
+SEED = 8
+#: Bytes of text at a time, and candidates at a time.
+CHUNK, CANDIDATES = 2 << 20, 1 << 18
 _TABLE = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -50,96 +39,36 @@ def _low(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-class ItemClass:
-    """Items of similar length."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], common: np.ndarray, percent: int, recall: float, seed: int) -> None:
-        self.items = items
-        self.least, self.most = len(items[0][1]), len(items[-1][1])
-        self.vocabulary = np.unique(np.concatenate([w for _, w in items]))
-        self.rare = np.setdiff1d(self.vocabulary, common)
-        # what a window of the least length must hold; a longer item may have the rest beyond it
-        slack = [allowed(len(w), percent) + len(w) - self.least for _, w in items]
-        self.needed = max(1, min(len(w) - x for (_, w), x in zip(items, slack)))
-        self.needed_rare = max(0, min(int(np.isin(w, self.rare).sum()) - x for (_, w), x in zip(items, slack)))
-        rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 1 << 32, (STEPS, MOST_REPETITIONS), np.uint32) | np.uint32(1)
-        self.sampled = np.array([rng.choice(STEPS, SAMPLED, replace=False) for _ in range(MOST_REPETITIONS)])
-        self.repetitions = MOST_REPETITIONS
-        words = np.concatenate([np.append(w, np.zeros(STEPS, np.uint32)) for _, w in items])
-        starts, of, offset, at = [], [], [], 0
-        for k, (_, w) in enumerate(items):
-            o = range(0, max(1, len(w) - STEPS // 4), STRIDE)
-            starts += [at + x for x in o]
-            of += [k] * len(o)
-            offset += o
-            at += len(w) + STEPS
-        keys = self.keys(words, np.array(starts))
-        of, offset = np.array(of), np.array(offset)
-        self.repetitions = self._repetitions(keys, of, percent, recall, rng)
-        keys = keys[: self.repetitions]
-        rep, place = np.nonzero(keys)
-        order = np.argsort(keys[rep, place], kind="stable")
-        self.stored, self.of, self.offset = keys[rep, place][order], of[place][order], offset[place][order]
-
-    def keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """uint64 [repetition, start]; 0 where a sampled word is none of the items'."""
-        r, end = self.repetitions, len(words) - 1
-        at = np.broadcast_to(starts, (r, len(starts))).copy()
-        seen = np.empty((STEPS, r, len(starts)), np.uint32)
-        for j in range(STEPS):
-            w = words[at]
-            seen[j] = w
-            at = np.minimum(at + ((w * self.bits[j, :r, None]) >> np.uint32(31)), end)
-        out = np.broadcast_to(np.arange(1, r + 1, dtype=np.uint64)[:, None], (r, len(starts))).copy()
-        none = np.zeros(out.shape, bool)
-        for k in range(SAMPLED):
-            w = seen[self.sampled[:r, k], np.arange(r)]
-            none |= w == 0
-            out = mix(out * np.uint64(0x2545F4914F6CDD1D) + w)
-        out[none] = 0
-        return out
-
-    def _repetitions(self, keys: np.ndarray, of: np.ndarray, percent: int, recall: float, rng: np.random.Generator) -> int:
-        """So many that a copy with all edits allowed is found with the chance ``recall``."""
-        met = total = 0
-        for k in rng.permutation(len(self.items))[:64].tolist():
-            words = self.items[k][1]
-            for _ in range(4):
-                copy = words.tolist()
-                for kind in rng.integers(0, 3, allowed(len(words), percent)).tolist():
-                    at = int(rng.random() * max(1, len(copy)))
-                    copy[at : at + (kind != 1)] = [] if kind == 0 else [0]  # deleted, inserted, replaced
-                n = len(copy)
-                got = self.keys(np.array([*copy, *[0] * STEPS], np.uint32), np.arange(n))
-                mine = keys[:, of == k]
-                met += sum(bool(np.intersect1d(a[a != 0], b).size) for a, b in zip(mine, got))
-                total += len(keys)
-        p = min(max(met / total, 1e-3), 0.999)
-        return int(min(MOST_REPETITIONS, max(2, ceil(log(1 - recall) / log(1 - p)))))
-
-    def candidates(self, words: np.ndarray, known: np.ndarray, rare: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(place of a word, number of an item, where in the item that word would be); ``known`` and ``rare``:
-        running numbers of words of the vocabulary and of rare words."""
-        n = len(words)
-        first = np.arange(max(0, n - self.needed + 1))
-        last = np.minimum(first + self.least, n)
-        first = first[(known[last] - known[first] >= self.needed) & (rare[last] - rare[first] >= self.needed_rare)]
-        if not len(first):
-            return
-        covered = np.zeros(n + 1, np.int64)
-        np.add.at(covered, first, 1)
-        np.add.at(covered, np.minimum(first + self.most, n), -1)
-        starts = np.flatnonzero(np.cumsum(covered[:n]))
-        padded = np.append(words, np.zeros(STEPS, np.uint32))
-        for lo in range(0, len(starts), WINDOWS):
-            part = starts[lo : lo + WINDOWS]
-            keys = self.keys(padded, part)
-            a = np.searchsorted(self.stored, keys, "left")
-            hit = (keys != 0) & (self.stored[np.minimum(a, len(self.stored) - 1)] == keys)
-            rep, at = np.nonzero(hit)
-            b = np.searchsorted(self.stored, keys[rep, at], "right")
-            yield from sorted({(int(part[k]), int(self.of[x]), int(self.offset[x])) for k, lo_, hi_ in zip(at.tolist(), a[rep, at].tolist(), b.tolist()) for x in range(lo_, hi_)})
+def _hashed(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of runs that are one word longer."""
+    return mix(before * np.uint64(0x2545F4914F6CDD1D) + words)
+
+
+class Seeds:
+    """First words of pieces, of one length: their hashes, the items they are of and where in these they stand."""
+
+    def __init__(self, seeds: list[tuple[int, int, int]]) -> None:
+        hashes, of, offset = (np.array(c, t) for c, t in zip(zip(*seeds), (np.uint64, np.int64, np.int64)))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.of, self.offset = hashes[order], of[order], offset[order]
+        # most words of a document are told apart by a few bits
+        bits = max(10, (16 * len(seeds)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.some = np.zeros(1 << bits, bool)
+        self.some[hashes >> self.shift] = True
+
+    def hits(self, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of ``at``, numbers of seeds) that are equal, about ``CANDIDATES`` at a time."""
+        some = self.some[hashes >> self.shift]
+        hashes, at = hashes[some], at[some]
+        first = np.searchsorted(self.hashes, hashes, "left")
+        count = np.searchsorted(self.hashes, hashes, "right") - first
+        at, first, count = (x[count > 0] for x in (at, first, count))
+        end = np.cumsum(count)
+        cuts = np.flatnonzero(np.diff(end // CANDIDATES)) + 1
+        for place, lo, n in zip(np.split(at, cuts), np.split(first, cuts), np.split(count, cuts)):
+            if len(n):
+                yield np.repeat(place, n), np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
 
 
 def allowed(n: int, percent: int) -> int:
@@ -169,18 +98,42 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Searcher:
-    def __init__(self, items: list[tuple[int, str]], percent: int, recall: float, least_words: int) -> None:
-        self.percent = percent
+    def __init__(self, items: list[tuple[int, str]], percent: int, least_words: int) -> None:
+        if not 1 <= percent <= 100:
+            raise ValueError("percent is 1 to 100")
         hashes, first = hash_words([normal(t) for _, t in items])
         kept = [(i, _low(hashes[a:b])) for (i, _), a, b in zip(items, first, first[1:]) if b - a >= least_words]
-        kept.sort(key=lambda x: (len(x[1]), x[0]))
-        n = max(1, ceil(len(kept) / CLASSES))
-        found, times = np.unique(np.concatenate([np.unique(w) for _, w in kept]), return_counts=True) if kept else (np.empty(0, np.uint32),) * 2
-        common = found[times > COMMON * len(kept)]
-        self.classes = [ItemClass(kept[k : k + n], common, percent, recall, k) for k in range(0, len(kept), n)]
-        # classes by word: known and rare; the last line is for words of no item
-        self.vocabulary = found
-        self.known, self.rare = (np.stack([np.append(np.isin(found, v), False) for v in vs]) if kept else None for vs in ([c.vocabulary for c in self.classes], [c.rare for c in self.classes]))
+        self.vocabulary = np.unique(np.concatenate([w for _, w in kept])) if kept else np.empty(0, np.uint32)
+        self.items = [(i, w.tolist(), set(w.tolist()), allowed(len(w), percent)) for i, w in kept]
+        self.steps = np.array([max(1, edits) for *_, edits in self.items], np.int64)
+        seeds: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (_, w) in enumerate(kept):
+            n, pieces = len(w), self.items[k][3] + 1
+            cuts = [n * p // pieces for p in range(pieces + 1)]
+            runs, h = [], np.zeros(n, np.uint64)
+            for size in range(min(SEED, n)):
+                h = _hashed(h[: n - size], w[size:])
+                runs.append(h.tolist())
+            for lo, hi in zip(cuts, cuts[1:]):
+                size = min(SEED, hi - lo)
+                seeds.setdefault(size, []).append((runs[size - 1][lo], k, lo))
+        self.seeds = {size: Seeds(x) for size, x in seeds.items()}
+
+    def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(number of the text, number of the item, place); a place stands for as many words as there may be edits."""
+        padded = np.append(words, np.zeros(SEED, np.uint32))
+        at, h = np.arange(len(words)), np.zeros(len(words), np.uint64)
+        for size in range(1, max(self.seeds) + 1):
+            w = padded[at + (size - 1)]
+            there = w != 0
+            at, h = at[there], _hashed(h[there], w[there])
+            if size not in self.seeds:
+                continue
+            seeds = self.seeds[size]
+            for place, x in seeds.hits(h, at):
+                of = seeds.of[x]
+                doc = np.searchsorted(first, place, "right") - 1
+                yield from sorted(set(zip(doc.tolist(), of.tolist(), ((place - seeds.offset[x]) // self.steps[of]).tolist())))
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         """(number of the text, item id, edits, item's words, last word) of each text and item that match."""
@@ -189,25 +142,22 @@ class Searcher:
         at = np.searchsorted(self.vocabulary, words)
         at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] != words] = len(self.vocabulary)
         words[at == len(self.vocabulary)] = 0  # words of no item
-        running = lambda flags: np.concatenate([[0], np.cumsum(flags[at], dtype=np.int32)])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for c, known, rare in zip(self.classes, self.known, self.rare):
-            for start, k, offset in c.candidates(words, running(known), running(rare)):
-                doc = int(np.searchsorted(first, start, "right")) - 1
-                start -= offset
-                item_id, item = c.items[k]
-                edits = allowed(len(item), self.percent)
-                # neighbouring candidates look at nearly the same words: the places are rounded, the region covers both
-                step = max(1, edits)
-                place = start // step
-                if (doc, item_id, place) in tried:
-                    continue
-                tried.add((doc, item_id, place))
-                lo, hi = max(int(first[doc]), place * step - 2 * edits), min(int(first[doc + 1]), (place + 1) * step + len(item) + 2 * edits)
-                distance, end = best_match(item.tolist(), words[lo:hi].tolist())
-                if distance <= edits:
-                    best[doc, item_id] = min(best.get((doc, item_id), (distance + 1, 0, 0)), (distance, int(lo + end - first[doc]), len(item)))
+        for doc, k, place in self.candidates(words, first):
+            item_id, item, among, edits = self.items[k]
+            if (doc, item_id, place) in tried:
+                continue
+            tried.add((doc, item_id, place))
+            # neighbouring candidates look at nearly the same words: the places are rounded, the region covers both
+            step = max(1, edits)
+            lo, hi = max(int(first[doc]), place * step - 2 * edits), min(int(first[doc + 1]), (place + 1) * step + len(item) + 2 * edits)
+            text = words[lo:hi].tolist()
+            if sum(w in among for w in text) < len(item) - edits:
+                continue
+            distance, end = best_match(item, text)
+            if distance <= edits:
+                best[doc, item_id] = min(best.get((doc, item_id), (distance + 1, 0, 0)), (distance, int(lo + end - first[doc]), len(item)))
         for (doc, item_id), (distance, end, n) in sorted(best.items()):
             yield doc, item_id, distance, n, end
 
@@ -234,12 +184,12 @@ def _search(shared: Broadcast[Searcher]):
 
 
 def _found(searcher: Searcher, ids: list[int | None], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-    rows = [(ids[d], *rest) for d, *rest in searcher.search(texts)] if searcher.classes else []
+    rows = [(ids[d], *rest) for d, *rest in searcher.search(texts)] if searcher.items else []
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "edits", "item_words", "last_word"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, recall: float = 0.95, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, edits, item_words, last_word) of each document and benchmark item of which the document
     has a passage with at most 100 - ``percent`` percent of the item's words edited; the best place.
 
@@ -256,7 +206,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, reca
     out = None
     for k in range(blocks):
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").collect()]
-        searcher = docs.sparkSession.sparkContext.broadcast(Searcher(block, percent, recall, least_words))
+        searcher = docs.sparkSession.sparkContext.broadcast(Searcher(block, percent, least_words))
         part = docs.mapInArrow(_search(searcher), _SCHEMA)
         out = part if out is None else out.union(part)
     return out

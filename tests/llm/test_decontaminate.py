@@ -85,3 +85,20 @@ def test_awkward(spark):
     assert got == sorted(repr((i, k, 0)) for i in (30, 30, None, 31) for k in (1, 2))
     assert D.contamination(empty(spark), benchmark).count() == 0
     assert D.contamination(documents(spark), benchmark.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("pattern", ["spread", "replaced", "mixed"])
+def test_no_copy_is_lost(spark, pattern):
+    """Copies with all the edits allowed, wherever these are."""
+    rng = random.Random(3)
+    items = [(k, [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(8, 90))]) for k in range(150)]
+    docs, truth = [], {}
+    for k, item in items:
+        copy, n = list(item), D.allowed(len(item), 80)
+        places = [(2 * e + 1) * len(copy) // (2 * n) for e in range(n)] if pattern == "spread" else rng.sample(range(len(copy)), n)
+        for at in sorted(places, reverse=True):
+            copy[at : at + 1] = ["zz"] if pattern != "mixed" else rng.choice([[], ["zz"], [copy[at], "zz"]])
+        docs.append((k, " ".join(["before", *copy, "after"]), "en"))
+        truth[k, k] = distance(item, copy)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.edits for r in D.contamination(documents(spark, docs), benchmark).collect()} == truth
