@@ -74,8 +74,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go; one without an id is known by the hash of its text."""
+    """Documents with a benchmark passage go; documents and items without an id are known by the hash of their text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    benchmark = benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text")))
     key = _free(docs, "text_key")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     leaking = contamination(keyed, benchmark, id_col=key).select("doc_id").distinct()

@@ -1,6 +1,7 @@
 """Benchmark passages in documents, with a share of their words edited.
 
-Texts are words (letters and digits, lower-cased).  An item that may have k edits is cut into k + 1 pieces, one
+Texts are words (letters and digits, lower-cased); in scripts that are written without spaces each character is
+one.  An item that may have k edits is cut into k + 1 pieces, one
 of which stands unchanged in every copy, wherever the edits are: an edit touches one piece.  The first words of
 the pieces are seeds; where a document has the words of one, the item is a candidate at that alignment.  Nothing
 is sampled, so every copy within the edits is found.  Candidates whose words are too few of the item's are passed
@@ -10,6 +11,8 @@ edits can add to it).
 
 from __future__ import annotations
 
+import logging
+import re
 from collections.abc import Iterator
 from math import ceil
 
@@ -27,11 +30,21 @@ BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 SEED = 8
 #: Bytes of text at a time, and candidates at a time.
 CHUNK, CANDIDATES = 2 << 20, 1 << 18
+#: Characters of scripts without spaces (Thai to Tibetan, Myanmar, Khmer, Tai, Balinese, Javanese, kana, Chinese), and
+#: the marks between them.
+_SINGLE = re.compile("([\u0e00-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u303d\u30fb\ufe30-\ufe4f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_LOG = logging.getLogger(__name__)
 _TABLE = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def normal(text: str | None) -> bytes:
-    return (text or "").lower().encode().translate(_TABLE)
+    low = (text or "").lower()
+    raw = low.encode()
+    # below U+0800 there are no such scripts
+    if not low.isascii() and np.frombuffer(raw, np.uint8).max() >= 0xE0:
+        raw = _SINGLE.sub(r" \1 ", _MARKS.sub(" ", low)).encode()
+    return raw.translate(_TABLE)
 
 
 def _low(h: np.ndarray) -> np.ndarray:
@@ -102,9 +115,9 @@ class Searcher:
         if not 1 <= percent <= 100:
             raise ValueError("percent is 1 to 100")
         hashes, first = hash_words([normal(t) for _, t in items])
-        kept = [(i, _low(hashes[a:b])) for (i, _), a, b in zip(items, first, first[1:]) if b - a >= least_words]
+        kept = [(i, _low(hashes[a:b])) for (i, _), a, b in zip(items, first, first[1:]) if b > a]
         self.vocabulary = np.unique(np.concatenate([w for _, w in kept])) if kept else np.empty(0, np.uint32)
-        self.items = [(i, w.tolist(), set(w.tolist()), allowed(len(w), percent)) for i, w in kept]
+        self.items = [(i, w.tolist(), set(w.tolist()), allowed(len(w), percent) if len(w) >= least_words else 0) for i, w in kept]
         self.steps = np.array([max(1, edits) for *_, edits in self.items], np.int64)
         seeds: dict[int, list[tuple[int, int, int]]] = {}
         for k, (_, w) in enumerate(kept):
@@ -193,20 +206,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, leas
     """(doc_id, item_id, edits, item_words, last_word) of each document and benchmark item of which the document
     has a passage with at most 100 - ``percent`` percent of the item's words edited; the best place.
 
-    Items of fewer than ``least_words`` words are no evidence and aren't searched for.  Null and empty texts
-    hold nothing, on either side.  A repeated document row gives its matches again; equal items match alike.
-    Null doc_ids pass through; items with a null id are left out.  Without documents or items the result is
+    Of items of fewer than ``least_words`` words only unchanged copies are matches.  Null and empty texts and those
+    without a word hold nothing, on either side.  A repeated document row gives its matches again; equal items match alike.
+    Null doc_ids pass through; items with a null id are left out.  How many items
+    aren't searched for is logged as a warning.  Without documents or items the result is
     empty; other columns are not looked at.  The items are the query set: they go to the tasks in blocks of
     about ``block_items``, each of which is a pass over the documents.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    total = benchmark.count()
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, ceil(n / block_items), ceil(size / BLOCK_BYTES))
-    out = None
+    out, searched = None, 0
     for k in range(blocks):
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").collect()]
-        searcher = docs.sparkSession.sparkContext.broadcast(Searcher(block, percent, least_words))
+        searcher = Searcher(block, percent, least_words)
+        searched += len(searcher.items)
+        searcher = docs.sparkSession.sparkContext.broadcast(searcher)
         part = docs.mapInArrow(_search(searcher), _SCHEMA)
         out = part if out is None else out.union(part)
+    if searched < total:
+        _LOG.warning("%d of %d items aren't searched for: they have no id, no text or no word", total - searched, total)
     return out

@@ -102,3 +102,24 @@ def test_no_copy_is_lost(spark, pattern):
         truth[k, k] = distance(item, copy)
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
     assert {(r.doc_id, r.item_id): r.edits for r in D.contamination(documents(spark, docs), benchmark).collect()} == truth
+
+
+def test_short_items_are_found_unchanged(spark):
+    benchmark = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "one two three four five six seven"), (3, "Paris")], "item_id long, text string")
+    docs = [(1, "asked: who wrote faust, then", "en"), (2, "who wrote a faust", "en"), (3, "zero one two three four five six seven", "en"), (4, "one two three four five six eight", "en"), (5, "in Paris.", "en"), (6, "who wrote", "en")]
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in D.contamination(documents(spark, docs), benchmark).collect())
+    assert got == [(1, 1, 0), (3, 2, 0), (5, 3, 0)]
+
+
+def test_scripts_without_spaces(spark):
+    chinese, thai = "光合作用把光能转化为什么形式的能量", "พืชใช้แสงแดดเพื่อสร้างอาหารของมันเอง"
+    benchmark = spark.createDataFrame([(1, chinese), (2, thai)], "item_id long, text string")
+    docs = [(1, f"问题：{chinese}？答案", "zh"), (2, f"问题{chinese[:5]}，{chinese[5:9]}换{chinese[10:]}", "zh"), (3, f"ก {thai} ข", "th"), (4, chinese[:8], "zh")]
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in D.contamination(documents(spark, docs), benchmark).collect())
+    assert got == [(1, 1, 0), (2, 1, 1), (3, 2, 0)]
+
+
+def test_items_not_searched_for_are_reported(spark, caplog):
+    benchmark = spark.createDataFrame([(1, "alpha beta"), (None, "gamma"), (3, None), (4, " ?! ")], "item_id long, text string")
+    D.contamination(documents(spark), benchmark)
+    assert "3 of 4 items" in caplog.text

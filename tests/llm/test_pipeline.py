@@ -78,6 +78,13 @@ def test_empty(spark, folder):
         assert stage(spark, docs, folder[0]).count() == 0
 
 
+def test_items_without_an_id(spark, tmp_path):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    spark.createDataFrame([(None, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = documents(spark, [(1, f"x {item} y", "en"), (2, "a clean text", "en")])
+    assert [r.doc_id for r in C.benchmark_stage(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_matches_sql(spark, name):
