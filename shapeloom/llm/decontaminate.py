@@ -155,13 +155,13 @@ class Searcher:
         at = np.searchsorted(self.vocabulary, words)
         at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] != words] = len(self.vocabulary)
         words[at == len(self.vocabulary)] = 0  # words of no item
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best: dict[tuple[int, int], tuple[int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
         for doc, k, place in self.candidates(words, first):
-            item_id, item, among, edits = self.items[k]
-            if (doc, item_id, place) in tried:
+            _, item, among, edits = self.items[k]
+            if (doc, k, place) in tried:
                 continue
-            tried.add((doc, item_id, place))
+            tried.add((doc, k, place))
             # neighbouring candidates look at nearly the same words: the places are rounded, the region covers both
             step = max(1, edits)
             lo, hi = max(int(first[doc]), place * step - 2 * edits), min(int(first[doc + 1]), (place + 1) * step + len(item) + 2 * edits)
@@ -170,9 +170,9 @@ class Searcher:
                 continue
             distance, end = best_match(item, text)
             if distance <= edits:
-                best[doc, item_id] = min(best.get((doc, item_id), (distance + 1, 0, 0)), (distance, int(lo + end - first[doc]), len(item)))
-        for (doc, item_id), (distance, end, n) in sorted(best.items()):
-            yield doc, item_id, distance, n, end
+                best[doc, k] = min(best.get((doc, k), (distance + 1, 0)), (distance, int(lo + end - first[doc])))
+        for (doc, k), (distance, end) in sorted(best.items()):
+            yield doc, self.items[k][0], distance, len(self.items[k][1]), end
 
 
 _SCHEMA = "doc_id long, item_id long, edits long, item_words long, last_word long"
@@ -207,7 +207,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, leas
     has a passage with at most 100 - ``percent`` percent of the item's words edited; the best place.
 
     Of items of fewer than ``least_words`` words only unchanged copies are matches.  Null and empty texts and those
-    without a word hold nothing, on either side.  A repeated document row gives its matches again; equal items match alike.
+    without a word hold nothing, on either side.  A repeated document row gives its matches again; equal items match alike;
+    items with one id and different texts have a row each, and a repeated item row counts once.
     Null doc_ids pass through; items with a null id are left out.  How many items
     aren't searched for is logged as a warning.  Without documents or items the result is
     empty; other columns are not looked at.  The items are the query set: they go to the tasks in blocks of
@@ -215,12 +216,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, leas
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    total = benchmark.count()
+    total = benchmark.select("item_id", "text").distinct().count()
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, ceil(n / block_items), ceil(size / BLOCK_BYTES))
     out, searched = None, 0
     for k in range(blocks):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").collect()]
+        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text").collect()]
         searcher = Searcher(block, percent, least_words)
         searched += len(searcher.items)
         searcher = docs.sparkSession.sparkContext.broadcast(searcher)

@@ -123,3 +123,19 @@ def test_items_not_searched_for_are_reported(spark, caplog):
     benchmark = spark.createDataFrame([(1, "alpha beta"), (None, "gamma"), (3, None), (4, " ?! ")], "item_id long, text string")
     D.contamination(documents(spark), benchmark)
     assert "3 of 4 items" in caplog.text
+
+
+def test_texts_with_one_item_id(spark):
+    """Two items whose candidates stand at one place, and only the second is there."""
+    a, b = [f"a{k}" for k in range(20)], [f"b{k}" for k in range(20)]
+    first, second = a[:4] + b[4:], a
+    benchmark = spark.createDataFrame([(1, " ".join(first)), (1, " ".join(second)), (1, " ".join(second)), (1, " ".join(["c", *a[1:]]))], "item_id long, text string")
+    got = lambda **kw: sorted((r.doc_id, r.item_id, r.edits) for r in D.contamination(documents(spark, [(1, " ".join(a), "en"), (2, " ".join(first), "en")]), benchmark, **kw).collect())
+    assert got() == got(block_items=1) == [(1, 1, 0), (1, 1, 1), (2, 1, 0)]
+
+
+def test_a_failed_candidate_hides_no_other_item():
+    a = [f"a{k}" for k in range(20)]
+    for other in (a[:4] + [f"b{k}" for k in range(16)], [f"b{k}" for k in range(16)] + a[16:]):
+        for items in ([(1, " ".join(other)), (1, " ".join(a))], [(1, " ".join(a)), (1, " ".join(other))]):
+            assert [x[:3] for x in D.Searcher(items, 80, 8).search([" ".join(a[:4] + ["x"] + a[5:]).encode()])] == [(0, 1, 1)]
