@@ -97,8 +97,11 @@ def _nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("""SELECT o_orderkey, coalesce(round(sum(l_extendedprice), 2), 0) AS total, CAST(count(l_orderkey) AS DOUBLE) AS n, coalesce(min(l_extendedprice), 0) AS least,
               coalesce(max(l_extendedprice), 0) AS most, coalesce(round(avg(l_extendedprice), 6), 0) AS mean FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def nested_aggregates(spark, sf_dir):
-    prices = "items.price"
-    return project(_nested_orders(spark, sf_dir), {"o_orderkey": "o_orderkey", "total": F.round(J.sum_of(prices), 2), "n": J.count_of("items"), "least": J.min_of(prices), "most": J.max_of(prices), "mean": F.round(J.average_of(prices), 6)})
+    """Every aggregate over an order's items; partial sums, no order's items in one row."""
+    number = "l_extendedprice"
+    fields = {"total": ("sum", number), "n": ("count", number), "least": ("min", number), "most": ("max", number), "mean": ("average", number)}
+    out = aggregate_children(_t(spark, sf_dir, "orders").select("o_orderkey"), _t(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", fields)
+    return out.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 6)})
 
 
 @_register("SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders ORDER BY place LIMIT 10")

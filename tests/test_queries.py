@@ -31,3 +31,8 @@ def test_matches_sql(spark, name):
 def test_the_rest_runs(spark):
     for name in set(queries.QUERIES) - set(queries.SQL):
         assert queries.QUERIES[name](spark, SF).count() == 1
+
+
+def test_nested_aggregates_hold_no_order_in_one_row(spark):
+    plan = queries.QUERIES["nested_aggregates"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "partial_sum" in plan
