@@ -110,3 +110,7 @@ def test_times(spark):
 def test_combinations(spark):
     double = lambda x: J.multiply(x, 2)
     assert one(spark, J.chain(F.lit(5), double, double), J.compose(double, J.string)(F.lit(5)), J.chain(F.lit("abcd"), J.partial(J.substring, HOLE, 1, 2))) == (20, "10", "bc")
+
+
+def test_zip_keeps_all_tuples(spark):
+    assert one(spark, J.zip_arrays(doubles(1, 2, 3, 4, 5), doubles(6, 7, 8, 9, 10))) == ([[1, 6], [2, 7], [3, 8], [4, 9], [5, 10]],)
