@@ -161,11 +161,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model of the rows of ``docs`` that have an id, a text and a language.
 
     What comes to the driver is bounded by the number of features: their document frequencies and weights.
+    More than ``LANGUAGES`` distinct values of the language are refused with a ValueError, before any is learned:
+    the weights and the learner's state are dense, about half a megabyte in float64 for each value and array.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
     counts = dict(rows.groupBy("lang").count().limit(LANGUAGES + 1).collect())
     if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} distinct values, which is the most that can be learned; map rare or dirty tags to null first")
     df = {f: n for f, n in rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n")).collect()}
     idf = np.full(BUCKETS, np.log1p(df.pop(-1, 0)) + 1)
     if df:
@@ -206,7 +208,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learned from the rows that aren't held out.  Rows with a null id, text or language aren't learned from,
-    but get a prediction; without any row to learn from, all are ``und``.  Repeated rows are predicted alike,
+    but get a prediction; more than ``LANGUAGES`` distinct languages are refused (see ``train``); without any row to learn from, all are ``und``.  Repeated rows are predicted alike,
     an empty table gives an empty result, other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))

@@ -85,3 +85,10 @@ def test_held_out_accuracy(spark):
     out = G.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
     right, n = out.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
     assert n > 20 and right > 0.95
+
+
+def test_more_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(G, "LANGUAGES", 3)
+    assert G.train(documents(spark, [(k, "ab", f"l{k}") for k in range(3)])).languages == ["l0", "l1", "l2"]
+    with pytest.raises(ValueError, match="lang has more than 3 distinct values"):
+        G.train(documents(spark, [(k, "ab", f"l{k}") for k in range(4)]))
