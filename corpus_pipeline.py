@@ -18,9 +18,12 @@ from shapeloom.llm.langid import UNDETERMINED, held_out, predict, train
 from shapeloom.llm.near_dup import near_duplicates
 from shapeloom.llm.queries import vocabulary
 
-#: A document whose best language is less probable than this is rejected: hardly more than by chance, since short
-#: and mixed but clean texts often stay below one half.
-LEAST_SCORE = 0.3
+#: A document is rejected whose best language isn't more probable than by chance, which is 1 of L languages, by this
+#: share of the rest (0.3 with four languages): short and mixed but clean texts often stay below one half.
+ABOVE_CHANCE = 1 / 15
+#: The languages compete with one another alone, so a text in none of them can be of high probability for one.  A
+#: document is rejected, too, of whose letters a smaller share occurs in any row that was learned from.
+LEAST_KNOWN = 0.5
 #: Keys of at most so many bytes are broadcast to leave their documents out; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Near duplicates: runs of so many words, and percent of them in common.
@@ -44,12 +47,18 @@ def _join(docs: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFram
     return docs.join(F.broadcast(keys) if small else keys, condition, how)
 
 
+def least_score(languages: int) -> float:
+    """Of so many languages; 1 of one language, which is always as probable."""
+    chance = 1 / max(1, languages)
+    return chance + ABOVE_CHANCE * (1 - chance)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that is probable, go."""
+    """Documents without a letter, in a script that wasn't learned, or in no language that is probable, go."""
     model = train(docs.where(~held_out()))
     pred, score = _free(docs, "lang_pred"), _free(docs, "lang_score")
-    judged = predict(docs, model, pred_col=pred, score_col=score)
-    return judged.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).drop(pred, score)
+    judged = predict(docs, model, pred_col=pred, score_col=score, least_known=LEAST_KNOWN)
+    return judged.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least_score(len(model.languages)))).drop(pred, score)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

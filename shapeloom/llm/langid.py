@@ -70,10 +70,17 @@ class Model:
     weights: np.ndarray  #: float32 [bucket, language]
     bias: np.ndarray
     temperature: float
+    letters: np.ndarray | None = None  #: code points of the training rows' letters, sorted; not hashed
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def known(self, text: str) -> float:
+        """Share of the text's letters that occur in the training rows."""
+        a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        a = a[_letters()[a]]
+        return float(np.isin(a, self.letters).mean()) if len(a) else 0.0
+
+    def predict(self, text: str | None, least_known: float = 0.0) -> tuple[str, float]:
         at, v = vector(text, self.idf)
-        if not len(at) or not self.languages:
+        if not len(at) or not self.languages or least_known and self.known(text) < least_known:
             return UNDETERMINED, 0.0
         p = softmax((v.astype(np.float32) @ self.weights[at] + self.bias) / self.temperature)
         best = int(p.argmax())
@@ -137,13 +144,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray) -> Mode
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, rows = np.zeros(BUCKETS, np.int64), 0
+    counts, rows, seen = np.zeros(BUCKETS, np.int64), 0, np.zeros(0x110000, bool)
     for batch in batches:
         for text in batch.column(0):
-            counts[features(text.as_py())[0]] += 1
+            text = text.as_py()
+            counts[features(text)[0]] += 1
+            seen[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)] = True
             rows += 1
     at = counts.nonzero()[0]
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([rows, *counts[at].tolist()], pa.int64())], ["feature", "n"])
+    # letters come behind the features
+    letters = (seen & _letters()).nonzero()[0]
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist(), *(BUCKETS + letters).tolist()], pa.int32()), pa.array([rows, *counts[at].tolist(), *[1] * len(letters)], pa.int64())], ["feature", "n"])
 
 
 def _fit(idf: np.ndarray):
@@ -160,7 +171,8 @@ def _fit(idf: np.ndarray):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the rows of ``docs`` that have an id, a text and a language.
 
-    What comes to the driver is bounded by the number of features: their document frequencies and weights.
+    What comes to the driver is bounded by the number of features, their document frequencies and weights, and by the
+    number of letters there are.
     More than ``LANGUAGES`` distinct values of the language are refused with a ValueError, before any is learned:
     the weights and the learner's state are dense, about half a megabyte in float64 for each value and array.
     """
@@ -169,31 +181,33 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if len(counts) > LANGUAGES:
         raise ValueError(f"{lang_col} has more than {LANGUAGES} distinct values, which is the most that can be learned; map rare or dirty tags to null first")
     df = {f: n for f, n in rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n")).collect()}
+    letters = np.array(sorted(f - BUCKETS for f in df if f >= BUCKETS), np.uint32)
+    df = {f: n for f, n in df.items() if f < BUCKETS}
     idf = np.full(BUCKETS, np.log1p(df.pop(-1, 0)) + 1)
     if df:
         at = np.fromiter(df, np.int64, len(df))
         idf[at] -= np.log1p(np.fromiter(df.values(), np.int64, len(df)))
     if not counts:
-        return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0)
+        return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, letters)
     # the rows with the smallest hashes of a language: a share of its rows that gives about as many of each
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_rows / len(counts) / n))))
     h = F.xxhash64(F.col("id").cast("string"), F.lit("sample"))
     sample = rows.where(F.pmod(h, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     sample = sample.orderBy(h, "id", "text").limit(2 * sample_rows).select("text", "lang")
     m = sample.coalesce(1).mapInArrow(_fit(idf), "languages array<string>, weights binary, bias binary, temperature double").first()
-    return Model(list(m.languages), idf, np.frombuffer(m.weights, np.float32).reshape(BUCKETS, -1), np.frombuffer(m.bias, np.float32), m.temperature)
+    return Model(list(m.languages), idf, np.frombuffer(m.weights, np.float32).reshape(BUCKETS, -1), np.frombuffer(m.bias, np.float32), m.temperature, letters)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", least_known: float = 0.0) -> DataFrame:
     """``docs`` with the language and its calibrated probability, from the whole text alone; ``und`` and 0 for
-    a null text and one without a letter."""
+    a null text, one without a letter and one of whose letters a smaller share than ``least_known`` was learned."""
     known = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [known.value.predict(t.as_py()) for t in batch.column(column)]
+            got = [known.value.predict(t.as_py(), least_known) for t in batch.column(column)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*batch.schema.names, pred_col, score_col])
 
     return docs.mapInArrow(run, schema)

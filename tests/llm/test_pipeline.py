@@ -2,9 +2,11 @@
 
 import os
 import random
+import zlib
 
 import pytest
 from awkward import documents, empty
+from pyspark.sql import functions as F
 from test_decontaminate import distance, words
 from test_exact_dedup import low
 from test_near_dup import brute as near_brute
@@ -78,6 +80,23 @@ def test_empty(spark, folder):
         assert stage(spark, docs, folder[0]).count() == 0
 
 
+def test_unlearned_scripts_and_even_scores_are_rejected(spark, folder, monkeypatch):
+    path, rows, _ = folder
+    foreign = ["Съешь же ещё этих мягких французских булок", "这是一个没有学过的语言的句子", "これは学んでいない言語の文です", "שלום עולם"]
+    held = [k for k in range(1000, 1200) if zlib.crc32(str(k).encode()) % 4 == 2]
+    docs = documents(spark, [*rows, *((k, t, "zz") for k, t in zip(held, foreign)), (held[9], "Съешь badu miso baba", "aa")])
+    kept = lambda: {r.doc_id for r in C.language_stage(spark, docs, path).collect()}
+    assert kept() == {i for i, t, _ in rows if t and any(c.isalpha() for c in t)} | {held[9]}
+    # an even score of two languages, whatever the text
+    monkeypatch.setattr(C, "LEAST_KNOWN", 0.0)
+    monkeypatch.setattr(C, "predict", lambda docs, model, pred_col, score_col, least_known: docs.withColumns({pred_col: F.lit("aa"), score_col: F.lit(0.52)}))
+    assert not kept()
+
+
+def test_least_score_follows_the_number_of_languages():
+    assert [round(C.least_score(n), 3) for n in (1, 2, 3, 4)] == [1, 0.533, 0.378, 0.3]
+
+
 def test_items_without_an_id(spark, tmp_path):
     item = "alpha beta gamma delta epsilon zeta eta theta"
     spark.createDataFrame([(None, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
