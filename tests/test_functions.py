@@ -113,4 +113,4 @@ def test_combinations(spark):
 
 
 def test_zip_keeps_all_tuples(spark):
-    assert one(spark, J.zip_arrays(doubles(1, 2, 3, 4, 5), doubles(6, 7, 8, 9, 10))) == ([[1, 6], [2, 7], [3, 8], [4, 9], [5, 10]],)
+    assert one(spark, J.zip_arrays(doubles(1, 2, 3, 4, 5), doubles(6, 7, 8, 9, 10))) == [[1, 6], [2, 7], [3, 8], [4, 9], [5, 10]]
