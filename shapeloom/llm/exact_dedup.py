@@ -37,6 +37,8 @@ from . import scratch
 
 FANOUT = 16
 TABLE_BYTES = 32 << 20
+#: Stands for a null id inside.
+NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<QqqqQ")
 
 
@@ -212,17 +214,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty, and an empty text is
-    a text like others.  Of equal texts the row with the largest id stays; if a row occurs several times,
-    one occurrence stays.  A row with a null id can't be named: it stays, with a null keep_id and a group of
-    one.  An empty table gives an empty result; further columns of ``docs`` are not looked at.
+    a text like others, as is a very long one: a task holds a table of ``table_bytes``, or one text.  Of equal
+    texts the row with the largest id stays, and one row where several have that id; a null id is smaller than
+    all others (and the same as the least long integer), so keep_id is null only where no equal text has an id.
+    An empty table gives an empty result; further columns of ``docs`` are not looked at.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    local = scratch.table(docs.where("doc_id is not null").mapInArrow(_local(table_bytes), _LOCAL), "exact-local")
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    local = scratch.table(docs.mapInArrow(_local(table_bytes), _LOCAL), "exact-local")
     carriers = local.where("local_kept").select("doc_id", "rows", "local", "text").repartition(F.xxhash64("text"))
     final = carriers.mapInArrow(_final(table_bytes), _FINAL)
-    named = local.select("doc_id", "local", "sha", "local_kept").join(final, "local").select(
-        "doc_id", "keep_id", "group_size", (F.col("local_kept") & F.col("final_kept")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    named = lambda c: F.nullif(c, F.lit(NO_ID)).alias(c)
+    return local.select("doc_id", "local", "sha", "local_kept").join(final, "local").select(
+        named("doc_id"), named("keep_id"), "group_size", (F.col("local_kept") & F.col("final_kept")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
-    lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    unnamed = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2(lowered.cast("binary"), 256).alias("text_sha256"))
-    return named.unionByName(unnamed)

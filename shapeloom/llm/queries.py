@@ -116,7 +116,7 @@ SQL: dict[str, str] = {
     "op2_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256
+               row_number() OVER (PARTITION BY x ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(x) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY x)""",
     "op7_url_filter": """
         WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -127,21 +127,23 @@ SQL: dict[str, str] = {
                 FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
         SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN hit USING (page_id)""",
     "op8_near_dedup": rf"""
-        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
-        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-                ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS shingle FROM w),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-        e AS (SELECT u, v FROM p JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * common >= 85 * (nu.n + nv.n - common)),
-        r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u)
-        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept
-        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT k, doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS shingle FROM d),
+        n AS (SELECT k, any_value(doc_id) AS doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.k AS j, b.k, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.k <> b.k GROUP BY 1, 2),
+        e AS (SELECT DISTINCT x.doc_id AS u, y.doc_id AS v FROM p JOIN n x ON x.k = p.j JOIN n y ON y.k = p.k
+              WHERE x.doc_id <> y.doc_id AND 100 * common >= 85 * (x.n + y.n - common)),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u),
+        m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, coalesce(d.doc_id = m.c, true) AS kept
+        FROM d LEFT JOIN n ON n.k = d.k LEFT JOIN m ON m.doc_id = d.doc_id""",
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p)
         SELECT page_id, payload_bytes,
                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                  1 + ((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
-               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> last THEN last END AS refers_to FROM d""",
+               CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM d""",
 }

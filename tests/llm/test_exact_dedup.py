@@ -14,19 +14,15 @@ def low(t):
 def brute(rows):
     groups, out = {}, []
     for i, t, *_ in rows:
-        if i is not None:
-            groups.setdefault(low(t), []).append(i)
+        groups.setdefault(low(t), []).append(i)
     taken = set()
     for i, t, *_ in rows:
-        sha = hashlib.sha256(low(t).encode()).hexdigest()
-        if i is None:
-            out.append((None, None, 1, True, sha))
-        else:
-            g = groups[low(t)]
-            kept = i == max(g) and (i, low(t)) not in taken
-            if kept:
-                taken.add((i, low(t)))
-            out.append((i, max(g), len(g), kept, sha))
+        g = groups[low(t)]
+        keeper = max((x for x in g if x is not None), default=None)
+        kept = i == keeper and low(t) not in taken
+        if kept:
+            taken.add(low(t))
+        out.append((i, keeper, len(g), kept, hashlib.sha256(low(t).encode()).hexdigest()))
     return sorted(map(repr, out))
 
 
