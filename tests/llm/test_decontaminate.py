@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from awkward import documents, empty
 
@@ -87,21 +88,51 @@ def test_awkward(spark):
     assert D.contamination(documents(spark), benchmark.where("false")).count() == 0
 
 
+def with_edits(rng, item, n, pattern):
+    copy = list(item)
+    places = [(2 * e + 1) * len(copy) // (2 * n) for e in range(n)] if pattern == "spread" else rng.sample(range(len(copy)), n)
+    for at in sorted(places, reverse=True):
+        copy[at : at + 1] = ["zz"] if pattern != "mixed" else rng.choice([[], ["zz"], [copy[at], "zz"]])
+    return copy
+
+
 @pytest.mark.parametrize("pattern", ["spread", "replaced", "mixed"])
-def test_no_copy_is_lost(spark, pattern):
-    """Copies with all the edits allowed, wherever these are."""
+def test_copies_are_found(spark, pattern):
+    """Copies with all the edits allowed, wherever these are: the recall aimed at, the least distance, nothing else."""
     rng = random.Random(3)
     items = [(k, [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(8, 90))]) for k in range(150)]
     docs, truth = [], {}
     for k, item in items:
-        copy, n = list(item), D.allowed(len(item), 80)
-        places = [(2 * e + 1) * len(copy) // (2 * n) for e in range(n)] if pattern == "spread" else rng.sample(range(len(copy)), n)
-        for at in sorted(places, reverse=True):
-            copy[at : at + 1] = ["zz"] if pattern != "mixed" else rng.choice([[], ["zz"], [copy[at], "zz"]])
+        copy = with_edits(rng, item, D.allowed(len(item), 80), pattern)
         docs.append((k, " ".join(["before", *copy, "after"]), "en"))
         truth[k, k] = distance(item, copy)
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
-    assert {(r.doc_id, r.item_id): r.edits for r in D.contamination(documents(spark, docs), benchmark).collect()} == truth
+    got = {(r.doc_id, r.item_id): r.edits for r in D.contamination(documents(spark, docs), benchmark).collect()}
+    assert got.items() <= truth.items() and len(got) >= 0.98 * len(truth)
+
+
+@pytest.mark.parametrize("n", range(1, 61))
+def test_recall_by_length(n):
+    """Items of each length, short ones with edits too, over few and over many words; unchanged ones are all found."""
+    rng = random.Random(n)
+    for words_ in (400, 20_000):
+        items = [(k, [f"w{int(words_ * rng.random() ** 2)}" for _ in range(n)]) for k in range(40)]
+        searcher = D.Searcher([(k, " ".join(w)) for k, w in items], 80, 1)
+        for pattern in (None, "spread", "replaced", "mixed"):
+            docs = [" ".join(["x", "y", *(with_edits(rng, w, D.allowed(n, 80), pattern) if pattern else w), "z"]).encode() for _, w in items * 3]
+            got = {(d, k) for d, k, *_ in searcher.search(docs)}
+            assert sum((d, d % 40) in got for d in range(120)) >= (0.95 if pattern else 1) * 120, (words_, pattern, searcher.classes)
+
+
+def test_walks_see_no_more_words_than_steps():
+    """So a walk of so many steps as words stand unchanged side by side misses nothing."""
+    known, at, of, offset = D._laid([np.arange(1, 60, dtype=np.uint64)])
+    for steps, sampled in D.WALKS:
+        walks = D.Walks(steps, sampled)
+        changed = known.copy()
+        changed[at[10 + steps :]] = 0
+        for r in range(D.REPETITIONS):
+            assert walks.keys(r, known, D._bits(known), at[10:11])[1] == walks.keys(r, changed, D._bits(known), at[10:11])[1]
 
 
 def test_short_items_are_found_unchanged(spark):
