@@ -75,9 +75,10 @@ def reduce_array(items: Column | list, start: Column, step: Callable[[Column, Co
 
 
 def contained_in(x: ColumnLike, items: Column | list) -> Column:
-    """Membership; nothing is in no array of values."""
+    """Membership; nothing is in no array of values.  Of a list in a form that scans can use."""
     if isinstance(items, list):
-        return F.coalesce(col(x).isin(items), F.lit(None in items))
+        x, there = col(x), [i for i in items if i is not None]
+        return x.isNull() | x.isin(there) if None in items else x.isNotNull() & x.isin(there)
     return F.coalesce(F.array_contains(items, col(x)), F.lit(False))
 
 

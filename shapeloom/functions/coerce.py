@@ -1,10 +1,13 @@
 """Conversions between JSON types.
 
-``typeof`` is constant for a column, so Catalyst folds the branches for other types away.
+``typeof`` is constant for a column, so Catalyst folds the branches for other types away.  Until then the plan has them all,
+so what is known to be text is marked and passed through as it is: nested text functions don't multiply.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,16 +33,39 @@ def _numeric(x: Column) -> Column:
     return _is(x, *_FRACTIONS, *_WHOLE) | F.typeof(x).startswith("decimal")
 
 
+def as_text(x: Column) -> Column:
+    """Marks a column that is text and never NULL."""
+    x._is_text = True
+    return x
+
+
+def is_text(x: ColumnLike) -> bool:
+    return isinstance(x, Column) and x.__dict__.get("_is_text", False)
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x in the plan once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _number_text(s: Column) -> Column:
+    """Of a double as Spark writes it: all digits from 1e-6 up to 1e21, else an exponent with a sign and two digits."""
+    digits = F.when(s.rlike("E-[456]$"), s.try_cast("decimal(38,26)").cast("string")).when(s.rlike("E([7-9]|1[0-9]|20)$"), s.try_cast("decimal(38,12)").cast("string")).when(~s.contains("E"), s)
+    exponent = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(s), r"\.0e", "e"), "e([0-9])", "e+$1"), "e([+-])([0-9])$", "e$10$2")
+    short = F.regexp_replace(F.regexp_replace(F.coalesce(digits, exponent), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")  # zeros behind the point
+    return F.regexp_replace(short, "^-0$", "0")
+
+
 def string(x: ColumnLike) -> Column:
-    """Text as it is, "" for nothing; whole numbers below 1e21 without a fraction, larger ones as 1e+21."""
+    """Text as it is, "" for nothing; numbers as JSON writes them: all digits from 1e-6 up to 1e21, else 1e-07, 1e+21.
+
+    As many digits as the JVM gives a double.
+    """
     x = col(x)
+    if is_text(x):
+        return x
     s = x.cast("string")
-    d = s.try_cast("double")
-    whole = (F.try_mod(d, F.lit(1.0)) == 0) & (F.abs(d) < 1e21)
-    plain = F.when(d == 0, F.lit("0")).otherwise(s.try_cast("decimal(38,0)").cast("string"))
-    large = F.regexp_replace(F.regexp_replace(F.lower(s), r"\.0e", "e"), "e([0-9])", "e+$1")
-    fraction = F.when(_is(x, *_FRACTIONS), F.when(whole, plain).otherwise(F.when(s.contains("E"), large).otherwise(s))).otherwise(s)
-    return F.coalesce(fraction, F.lit(""))
+    return as_text(F.coalesce(F.when(_is(x, *_FRACTIONS), _number_text(s)).otherwise(s), F.lit("")))
 
 
 def number(x: ColumnLike) -> Column:

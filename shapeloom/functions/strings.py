@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .coerce import ColumnLike, col, string
+from .coerce import ColumnLike, as_text, col, once, string
 
+_MOST = (1 << 31) - 1
 _BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -23,16 +26,17 @@ def _whole(x: Column | float) -> Column:
 
 
 def uppercase(x: ColumnLike) -> Column:
-    return F.upper(_text(x))
+    """By Unicode's full case mapping: one letter may become several."""
+    return as_text(F.upper(_text(x)))
 
 
 def lowercase(x: ColumnLike) -> Column:
-    return F.lower(_text(x))
+    return as_text(F.lower(_text(x)))
 
 
 def trim(x: ColumnLike) -> Column:
     """White space of any kind goes from both ends; what is inside stays."""
-    return F.regexp_replace(F.regexp_replace(_text(x), f"^{_BLANKS}", ""), f"{_BLANKS}$", "")
+    return as_text(F.regexp_replace(F.regexp_replace(_text(x), f"^{_BLANKS}", ""), f"{_BLANKS}$", ""))
 
 
 def length(x: ColumnLike) -> Column:
@@ -42,21 +46,26 @@ def length(x: ColumnLike) -> Column:
 
 def substring(x: ColumnLike, start: Column | int, count: Column | int | None = None) -> Column:
     """From a 0-based start; a negative one counts from the end, and at most back to the beginning."""
-    s, start = _text(x), _whole(start)
-    n = F.length(s)
-    begin = F.when(start < 0, F.greatest(n + start, F.lit(0))).otherwise(start)
-    return F.substring(s, begin + 1, n if count is None else F.greatest(_whole(count), F.lit(0)))
+    n = F.lit(_MOST) if count is None else F.greatest(_whole(count), F.lit(0))
+    if isinstance(start, Column):
+        begin = lambda s: F.when(_whole(start) < 0, F.greatest(F.length(s) + _whole(start), F.lit(0))).otherwise(_whole(start))
+        return as_text(once(_text(x), lambda s: F.substring(s, begin(s) + 1, n)))
+    if start >= 0:
+        return as_text(F.substring(_text(x), F.lit(int(start) + 1), n))
+    return as_text(F.substring(F.substring(_text(x), F.lit(int(start)), F.lit(_MOST)), F.lit(1), n))
 
 
 def substring_before(x: ColumnLike, mark: Column | str) -> Column:
     """The whole text if the mark isn't in it."""
-    return F.call_function("substring_index", _text(x), _literal(mark), F.lit(1))
+    return as_text(F.call_function("substring_index", _text(x), _literal(mark), F.lit(1)))
 
 
 def substring_after(x: ColumnLike, mark: Column | str) -> Column:
-    s, mark = _text(x), _literal(mark)
-    at = F.locate(mark, s) if isinstance(mark, str) else F.call_function("instr", s, mark)
-    return F.when(at == 0, s).otherwise(F.substring(s, at + F.length(mark), F.length(s)))
+    """The whole text if the mark isn't in it."""
+    if isinstance(mark, str):
+        return as_text(F.regexp_replace(_text(x), "(?s)^.*?" + re.escape(mark), "") if mark else _text(x))
+    at = lambda s: F.call_function("instr", s, mark)
+    return as_text(once(_text(x), lambda s: F.when(at(s) == 0, s).otherwise(F.substring(s, at(s) + F.length(mark), F.lit(_MOST)))))
 
 
 def contains(x: ColumnLike, part: Column | str) -> Column:
@@ -70,9 +79,9 @@ def join(items: ColumnLike, separator: Column | str = ",") -> Column:
 
 def pad(x: ColumnLike, width: Column | int, filler: Column | str = " ") -> Column:
     """To the right, up to a width in bytes, with the whole filler for each byte that lacks; never cut."""
-    s, filler = _text(x), _literal(filler)
+    filler = _literal(filler)
     filler = F.when(filler == "", F.lit(" ")).otherwise(filler)
-    return F.concat(s, F.repeat(filler, F.greatest(_whole(width) - F.octet_length(s), F.lit(0))))
+    return as_text(once(_text(x), lambda s: F.concat(s, F.repeat(filler, F.greatest(_whole(width) - F.octet_length(s), F.lit(0))))))
 
 
 def split(x: ColumnLike, separator: str) -> Column:
@@ -81,4 +90,4 @@ def split(x: ColumnLike, separator: str) -> Column:
 
 
 def concat(*parts: ColumnLike) -> Column:
-    return F.concat(*map(_text, parts))
+    return as_text(F.concat(*map(_text, parts)))

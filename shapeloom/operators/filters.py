@@ -32,13 +32,24 @@ def where_numbers(df: DataFrame, *tests: tuple[str, str, float]) -> DataFrame:
 
 
 def where_all(df: DataFrame, *predicates: Column | str) -> DataFrame:
-    """Rows for which all predicates are truthy; a name is a column, whatever its type."""
-    booleans = {f.name for f in df.schema.fields if f.dataType.simpleString() == "boolean"}
+    """Rows for which all predicates are truthy; a name is a column, whatever its type, tested in a form that scans can use."""
+    types = dict(df.dtypes)
     for p in predicates:
-        df = df.where(p if isinstance(p, Column) else F.col(p) if p in booleans else truthy(p))
+        df = df.where(p if isinstance(p, Column) else _truthy(p, types.get(p, "")))
     return df
 
 
+def _truthy(name: str, kind: str) -> Column:
+    x = F.col(name)
+    if kind == "boolean":
+        return x
+    if kind == "string":
+        return x.isNotNull() & (x != "")
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return x.isNotNull() & (x != 0)
+    return truthy(name)
+
+
 def element_at(df: DataFrame, index: int, order: Sequence[Column | str], *predicates: Column) -> DataFrame:
     """The row at a 0-based index of *all* rows in their order, if it passes the predicates.
 

@@ -150,10 +150,14 @@ _columns("number", "customer", {
 
 # -- text -------------------------------------------------------------------------------------------------------
 
-_columns("string", "part", {"p_partkey": "p_partkey", "whole": lambda: J.string(F.col("p_size").cast("double")), "text": lambda: J.string("p_name"), "half": lambda: J.string(F.col("p_size") + 0.5), "none": lambda: J.string(F.lit(None).cast("double"))},
-         "p_partkey, CAST(p_size AS VARCHAR) AS whole, p_name AS text, CAST(p_size AS VARCHAR) || '.5' AS half, '' AS none")
-_columns("concat", "part", {"p_partkey": "p_partkey", "s": lambda: J.concat("p_name", F.lit(" / "), F.col("p_size").cast("double"), F.lit(None).cast("string"))},
-         "p_partkey, p_name || ' / ' || p_size AS s")
+# numbers of one digit from 1e-8 to 9e21
+_SCALED = lambda: F.concat((F.col("p_size") % 9 + 1).cast("string"), F.lit("E"), (F.col("p_partkey") % 30 - 8).cast("string")).cast("double")
+_SCALED_SQL = """CASE WHEN p_partkey % 30 - 8 >= 21 THEN p_size % 9 + 1 || 'e+' || (p_partkey % 30 - 8) WHEN p_partkey % 30 - 8 >= 0 THEN p_size % 9 + 1 || repeat('0', p_partkey % 30 - 8)
+                   WHEN p_partkey % 30 - 8 >= -6 THEN '0.' || repeat('0', 7 - p_partkey % 30) || (p_size % 9 + 1) ELSE p_size % 9 + 1 || 'e-0' || (8 - p_partkey % 30) END"""
+_columns("string", "part", {"scaled": lambda: J.string(_SCALED()), "money": lambda: J.string(F.col("p_size") + 12345678.25), "p_partkey": "p_partkey", "whole": lambda: J.string(F.col("p_size").cast("double")), "text": lambda: J.string("p_name"), "half": lambda: J.string(F.col("p_size") + 0.5), "none": lambda: J.string(F.lit(None).cast("double"))},
+         f"{_SCALED_SQL} AS scaled, p_size + 12345678 || '.25' AS money, p_partkey, CAST(p_size AS VARCHAR) AS whole, p_name AS text, CAST(p_size AS VARCHAR) || '.5' AS half, '' AS none")
+_columns("concat", "part", {"p_partkey": "p_partkey", "s": lambda: J.concat("p_name", F.lit(" / "), F.col("p_size").cast("double"), F.lit(None).cast("string"), _SCALED())},
+         f"p_partkey, p_name || ' / ' || p_size || ({_SCALED_SQL}) AS s")
 _columns("case_and_trim", "part", {"p_partkey": "p_partkey", "u": lambda: J.uppercase("p_name"), "l": lambda: J.lowercase("p_brand"), "t": lambda: J.trim(F.concat(F.lit(" \t\n"), F.col("p_name"), F.lit(" \r\n ")))},
          "p_partkey, upper(p_name) AS u, lower(p_brand) AS l, trim(p_name) AS t")
 _columns("length", "documents", {"doc_id": "doc_id", "n": lambda: J.length("text")}, "doc_id, CAST(length(text) AS DOUBLE) AS n")
@@ -362,6 +366,35 @@ def validation_rules(spark, sf_dir):
     return out.select("request_id", "error.error", F.coalesce("error.status", F.lit(200)).alias("status"))
 
 
+#: Of an OpenAPI document.
+_COMPONENTS = {"Kind": {"$ref": "#/components/schemas/Word"}, "Word": {"type": "string", "minLength": 5, "enum": ["click", "purchase", "scroll"]}}
+_OPERATION = {
+    "parameters": [
+        {"in": "cookie", "name": "session", "required": True, "schema": {"$ref": "#/components/schemas/Kind"}},
+        {"in": "query", "name": "page", "schema": {"type": "integer", "maximum": 90}},
+        {"in": "header", "name": "Authorization", "schema": {"type": "string", "maxLength": 10, "pattern": "[02468]$"}},
+        {"in": "path", "name": "customer", "required": True, "schema": {"type": "string", "format": "email"}},
+    ]
+}
+
+
+@_register("""SELECT event_id AS request_id, CASE WHEN length(event_type) < 5 THEN 'cookie session breaks minLength 5' WHEN event_type NOT IN ('click', 'purchase', 'scroll') THEN 'cookie session breaks enum [''click'', ''purchase'', ''scroll'']'
+                WHEN trunc(value) > 90 THEN 'query page breaks maximum 90' WHEN length('Bearer ' || user_id) > 10 THEN 'header Authorization breaks maxLength 10' WHEN user_id % 2 = 1 THEN 'header Authorization breaks pattern [02468]$'
+                WHEN event_id % 3 <> 0 THEN 'path customer is not an email' END AS error FROM events""")
+def validation_schema(spark, sf_dir):
+    """Length, pattern, enum, maximum, email and references, from an operation's schema."""
+    user = R.param("customer")
+    requests = _requests(spark, sf_dir).withColumn("params", F.create_map(F.lit("customer"), F.when(F.col("request_id") % 3 == 0, F.concat(user, F.lit("@x.org"))).otherwise(user)))
+    return validation.validate(requests, validation.operation_rules(_OPERATION, _COMPONENTS)).select("request_id", "error.error")
+
+
+@_register("SELECT n_nationkey, 'https://h/v1/nations/' || replace(n_name, ' ', '%20') || '/' || n_nationkey || '?k=v' AS url, CASE WHEN n_nationkey % 2 = 0 THEN 'https://h/v1/nations/' || n_nationkey || '/' || n_nationkey || '?k=v' END AS lacking FROM nation")
+def provider_urls(spark, sf_dir):
+    """A url for each row, from a template and the row's parameters; none where one is missing."""
+    p = Provider.of({"host": "https://h", "path": "/v1", "query": {"k": "v"}, "endpoints": {"nation": "/nations/{name}/{id}"}})
+    key = F.col("n_nationkey")
+    return project(_t(spark, sf_dir, "nation"), {"n_nationkey": "n_nationkey", "url": p.url_column("nation", {"name": F.col("n_name"), "id": key}), "lacking": p.url_column("nation", {"name": F.when(key % 2 == 0, key), "id": key})})
+
 
 @_register("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 409 ELSE 200 END AS status, 'application/json' AS kind,
               CASE WHEN o_orderstatus = 'P' THEN '{"error":"pending","status":409,"code":"ORDER_PENDING"}' ELSE '{"id":' || o_orderkey || ',"note":null}' END AS body FROM orders""")
@@ -388,18 +421,12 @@ def error_rows(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", raw.otherwise("user_service/profile: something failed").alias("raw")).select("event_id", errors.safe_message("raw").alias("message"), errors.code_of("raw").alias("code"))
 
 
-@_register("""WITH k AS (SELECT range AS k, CAST(floor((sin(range * pi() / 12) + 1) * 20 + 0.5) AS BIGINT) AS i FROM range(0, 25))
-              SELECT CAST(k AS DOUBLE) AS k, repeat('.', CAST(i + 1 AS INTEGER)) || 'O' || repeat('.', CAST(41 - i AS INTEGER)) AS line FROM k""")
+@_register("""SELECT CAST(range AS DOUBLE) AS k, repeat('#', CAST((range * (range + 1) // 2) % 17 AS INTEGER)) || ' ' || (range * (range + 1) // 2) AS line FROM range(0, 40)""")
 def drawing(spark, sf_dir):
-    """A sine wave in text, from functions of functions, ranges and reductions."""
-    pi = 3.1415926535897932384626
-    factorial = lambda n: J.reduce_array(J.number_range(F.lit(1), n), F.lit(1.0), J.multiply)
-    cos = lambda x: J.sum_of(J.array_map(J.number_range(0, 12), lambda k: J.divide(J.multiply(J.power(-1, k), J.power(x, k * 2)), factorial(k * 2))))
-    dots = lambda a, b: J.join(J.array_map(J.number_range(a, b), lambda _: F.lit(".")), "")
-    # bound values are columns of their own: inlined, each would be as often in the plan as it is used
-    x = F.col("k") * pi / 12 - pi / 2
-    bindings = {"x": F.when(x > pi, x - 2 * pi).otherwise(x), "sine": cos(F.col("x")), "index": J.floor((F.col("sine") + 1) * 20 + 0.5)}
-    return project(range_rows(spark, 0, 24, "k"), {"k": "k", "line": J.concat(dots(F.lit(0), F.col("index")), F.lit("O"), dots(F.col("index"), F.lit(40)))}, bindings)
+    """Bars as long as the triangular numbers modulo 17, from ranges, reductions and functions of functions."""
+    triangle = lambda k: J.reduce_array(J.number_range(F.lit(1), k), F.lit(0.0), J.add)
+    bar = J.compose(lambda n: J.number_range(F.lit(1), n), lambda r: J.array_map(r, lambda _: F.lit("#")), J.partial(J.join, HOLE, ""))
+    return project(range_rows(spark, 0, 39, "k"), {"k": "k", "line": J.concat(bar(J.modulo("sum", 17)), F.lit(" "), J.string("sum"))}, {"sum": triangle(F.col("k"))})
 
 
 # -- streams ----------------------------------------------------------------------------------------------------
@@ -408,18 +435,11 @@ def drawing(spark, sf_dir):
 @_register("SELECT event_id, upper(event_type) AS kind, round(value * 2, 2) AS twice FROM events WHERE value < 50 OR value IS NULL")
 def stream_stateless(spark, sf_dir):
     """The same filter and projection over a stream of files, run to its end."""
-    from ..streaming import open_stream, run_to_end, stateless
+    from ..streaming import open_stream, run_to_end, shared_folder, stateless
 
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     pipeline = lambda df: project(where_numbers(df, ("value", "<", 50)), {"event_id": "event_id", "kind": J.uppercase("event_type"), "twice": F.round(J.multiply("value", 2), 2)})
-    folder = _shared(spark) + f"/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run_to_end(stateless(open_stream(spark, f"{sf_dir}/events.parque[t]", schema), pipeline), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
-
-
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one on a single machine."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shapeloom-stream-")).rstrip("/")

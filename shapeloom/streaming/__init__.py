@@ -1,5 +1,5 @@
 """Record pipelines over streams."""
 
-from .pipelines import open_stream, run_to_end, stateless
+from .pipelines import open_stream, run_to_end, shared_folder, stateless
 
-__all__ = ["open_stream", "run_to_end", "stateless"]
+__all__ = ["open_stream", "run_to_end", "shared_folder", "stateless"]

@@ -1,6 +1,8 @@
 """Golden vectors of the column functions."""
 
 import math
+import time
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,43 @@ def test_string(spark, value, text):
     assert one(spark, J.string(F.lit(value))) == text
 
 
+def json_number(x):
+    """All digits from 1e-6 up to 1e21, else an exponent of two digits at least."""
+    if x == 0:
+        return "0"
+    digits, _, e = f"{x!r}".partition("e")
+    if 1e-6 <= abs(x) < 1e21:
+        text = f"{Decimal(repr(x)):f}"
+        return text.rstrip("0").rstrip(".") if "." in text else text
+    return f"{digits.removesuffix('.0')}e{int(e):+03d}"
+
+
+def test_string_of_all_sizes(spark):
+    xs = [s * float(f"{m}e{e}") for e in range(-8, 23) for m in (1.0, 1.5, 12345678.5, 9.99) for s in (1, -1)] + [0.0001, 12345678.5, 1e-7, 1000000.0, -0.0, 1e-300, 1.7976931348623157e308]
+    got = spark.createDataFrame([(float(x),) for x in xs], "x double").select("x", J.string("x").alias("s")).collect()
+    assert [(r.x, r.s) for r in got] == [(r.x, json_number(r.x)) for r in got]
+    assert one(spark, J.string(F.lit(float("nan"))), J.string(F.lit(float("-inf")))) == ("NaN", "-Infinity")
+
+
+TEXT_FUNCTIONS = [J.trim, J.uppercase, J.lowercase, lambda x: J.substring(x, 1), lambda x: J.substring(x, -9), lambda x: J.substring_before(x, "#"), lambda x: J.substring_after(x, "#"), lambda x: J.pad(x, 20, "."),
+                  lambda x: J.concat(x, F.lit("!")), J.string]
+
+
+@pytest.mark.parametrize("functions", [TEXT_FUNCTIONS, *([f] * 10 for f in TEXT_FUNCTIONS)])
+def test_ten_nested_text_functions_plan_fast(spark, functions):
+    df = spark.createDataFrame([(" abc#def ",)], "x string")
+    df.select(J.trim("x")).collect()
+    began = time.perf_counter()
+    df.select(J.chain("x", *functions))._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - began < 1
+
+
+def test_dynamic_arguments(spark):
+    df = spark.createDataFrame([("hello", 1, "l"), ("hello", -2, "z"), ("hello", -9, ""), (None, 2, "x")], "s string, n int, m string")
+    got = df.select(J.substring("s", F.col("n"), 2), J.substring("s", F.col("n")), J.substring_after("s", F.col("m")), J.pad("s", F.col("n") + 6, F.col("m"))).collect()
+    assert [tuple(r) for r in got] == [("el", "ello", "lo", "hellol" + "l"), ("lo", "lo", "hello", "hello"), ("he", "hello", "hello", "hello"), ("", "", "", "xxxxxxxx")]
+
+
 def test_text(spark):
     s = F.lit
     assert one(spark, J.pad(s("x"), 5, "#"), J.pad(s("hello"), 3), J.pad(s(42.0), 5), J.pad(s("a"), 3, ""), J.pad(s("é"), 3, "-")) == ("x####", "hello", "42   ", "a  ", "é-")

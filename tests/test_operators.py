@@ -73,3 +73,19 @@ def test_bindings_ranges_roots(spark, orders):
         project(orders, {}, {"price": F.lit(1)})
     assert [r.value for r in range_rows(spark, 0, 3).collect()] == [0, 1, 2, 3] and range_rows(spark, 3, 1).count() == 0
     assert root(spark, {"v": F.lit(1) + 1}).first().v == 2
+
+
+@pytest.mark.parametrize("name, pushed", [("filter_truthy", ["IsNotNull(event_type)", "Not(EqualTo(event_type,))"]), ("filter_and_or_in", ["In(o_orderstatus, [O,P])", "Or(GreaterThan(o_totalprice,100000.0)"])])
+def test_queries_push_their_filters(spark, name, pushed):
+    from shapeloom.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    line = next(x for x in plan.split("\n") if "PushedFilters" in x).split("PushedFilters: ")[1]
+    assert all(p in line for p in pushed), line
+
+
+def test_contained_in_is_never_null(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "x string")
+    from shapeloom.functions import contained_in
+
+    assert [tuple(r) for r in df.select(contained_in("x", ["a"]), contained_in("x", ["a", None])).collect()] == [(True, True), (False, True), (False, False)]

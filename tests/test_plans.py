@@ -2,6 +2,7 @@
 
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -33,9 +34,13 @@ def test_urls_and_timeouts():
         p.url("a")
 
 
+CALLS = []
+
+
 class Handler(BaseHTTPRequestHandler):
     def do_GET(self):
-        if self.path == "/bad":
+        CALLS.append(self.path)
+        if self.path.startswith("/bad"):
             self.send_error(500)
             return
         self.send_response(200)
@@ -74,6 +79,77 @@ def test_http(spark, server):
     assert list(c.check()) == ["p.one", "p.bad", "o.one"] or "p.bad" in c.check()
 
 
+def test_http_for_each_request(spark, server):
+    """Requests drive the calls: path, headers and body from their columns."""
+    config = {"base_url": server, "query": {"k": "v"}, "headers": {"X-Token": "t"}, "endpoints": {"one": "/x/{id}/y", "cached": {"path": "/c/{id}", "use_cache": True}, "bad": "/bad", "post": "/p"}}
+    c = Catalog(spark, {"p": Provider.of(config), "o": Provider.of(config | {"optional": True})})
+    requests = spark.createDataFrame([(1, "a b", "u"), (2, "é/", None), (3, "a b", "w"), (4, None, "w")], "request_id long, id string, token string")
+    got = c.fetch_each(requests, "o", "one", {"id": F.col("id")}, headers={"X-Token": F.col("token")}).collect()
+    body = {r.request_id: r.answer.body and json.loads(r.answer.body) for r in got}
+    assert body == {1: {"path": "/x/a%20b/y?k=v", "token": "u"}, 2: {"path": "/x/%C3%A9%2F/y?k=v", "token": None}, 3: {"path": "/x/a%20b/y?k=v", "token": "w"}, 4: None}
+    assert {r.request_id: r.answer.status for r in got} == {1: 200, 2: 200, 3: 200, 4: None}
+    with pytest.raises(Exception, match="parameter for one is missing"):
+        c.fetch_each(requests, "p", "one", {"id": F.col("id")}).collect()
+    posted = c.fetch_each(requests, "p", "post", method="POST", body=F.to_json(F.struct("id"))).collect()
+    assert {r.request_id: r.answer.body for r in posted} == {1: '{"id":"a b"}', 2: '{"id":"é/"}', 3: '{"id":"a b"}', 4: "{}"}
+    assert {r.answer.body for r in c.fetch_each(requests, "o", "bad").collect()} == {None}
+    CALLS.clear()
+    cached = c.fetch_each(requests.where("id is not null"), "p", "cached", {"id": F.col("id")})
+    assert cached.count() == 3 and len({r.answer.body for r in cached.collect()}) == 2 and sorted(CALLS) == ["/c/%C3%A9%2F?k=v", "/c/a%20b?k=v"]
+    c.close()
+    assert c.fetch_each(requests.where("false"), "p", "one", {"id": F.col("id")}).count() == 0
+
+
+def test_answers_are_kept(spark, server):
+    config = {"base_url": server, "endpoints": {"kept": {"path": "/k", "use_cache": True}, "not": "/n"}}
+    c = Catalog(spark, {"p": Provider.of(config)})
+    CALLS.clear()
+    for _ in range(2):
+        assert c.fetch("p", "kept").first().status == c.fetch("p", "not").first().status == 200
+    assert sorted(CALLS) == ["/k", "/n", "/n"]
+    c.close()
+    c.fetch("p", "kept").collect()
+    assert len(CALLS) == 4
+
+
+def test_url_of_an_optional_provider(spark):
+    config = {"base_url": "http://127.0.0.1:9", "endpoints": {"one": "/x/{id}"}}
+    c = Catalog(spark, {"p": Provider.of(config), "o": Provider.of(config | {"optional": True})})
+    assert c.fetch("o", "one").first().body is None
+    with pytest.raises(KeyError):
+        c.fetch("p", "one")
+
+
+def test_connection_timeout(spark):
+    import socket
+
+    from shapeloom.sources.http import call
+
+    with socket.socket() as s:  # a full backlog takes no connection
+        s.bind(("127.0.0.1", 0))
+        s.listen(0)
+        clients = [socket.socket() for _ in range(8)]
+        for x in clients:
+            x.setblocking(False)
+            x.connect_ex(s.getsockname())
+        began = time.perf_counter()
+        assert call(f"http://127.0.0.1:{s.getsockname()[1]}/", {"timeout_ms": "20000", "connection_timeout_ms": "300", "optional": "true"}) == (None, None)
+        assert time.perf_counter() - began < 5
+        for x in clients:
+            x.close()
+
+
+def test_stateless_knows_nodes_from_names(spark, tmp_path):
+    from shapeloom.streaming import open_stream, stateless
+
+    spark.range(3).select(F.col("id").alias("Sort ")).write.parquet(f"file://{tmp_path}/t")
+    stream = open_stream(spark, f"file://{tmp_path}/t", spark.read.parquet(f"file://{tmp_path}/t").schema)
+    assert stateless(stream, lambda df: df.where("`Sort ` > 1")).isStreaming
+    for state in (lambda df: df.distinct(), lambda df: df.groupBy("Sort ").count(), lambda df: df.limit(2)):
+        with pytest.raises(ValueError, match="needs state"):
+            stateless(stream, state)
+
+
 def test_http_size(spark, server):
     from shapeloom.sources.http import register
 
