@@ -8,9 +8,11 @@ not be released, so the operators never do it themselves.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _held: dict[str, list] = {}
@@ -36,6 +38,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back with its schema."""
     spark = df.sparkSession
