@@ -5,9 +5,10 @@
 2. Each band bucket with several representatives has a *hub*, the smallest.  Every member is tested against
    the smallest of its hubs: one test each, however large the buckets.  Links give components.
 3. Members that are not in their hub's component may still be linked with others of the bucket.  They are
-   tested against all members, in blocks of bounded size that two at a time meet in a task; a task tests
-   only pairs between components, each pair in the first bucket it has in common, and gives back links that
-   join components, never pairs.
+   tested against all members, in blocks of bounded size that two at a time meet in a task; only pairs between
+   components, each pair in the first bucket it has in common.  First only signatures meet, which tell the
+   members that have a partner left in that task; then the texts of these alone meet there, and a task gives back
+   links that join components, never pairs.
 4. Components of all links, then every document takes its class's component.
 
 A test compares signatures batch by batch.  With m of n values equal and a uniform prior, the posterior
@@ -39,6 +40,8 @@ BATCH = 32
 BROADCAST_BYTES = 64 << 20
 #: Most members and most shingles (8 bytes each) of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Blocks of a bucket whose members meet, if they have so many members at least: so a hot bucket is many tasks'.
+LEAST_BLOCKS, LEAST_MEMBERS = 32, 64
 
 
 def banding(percent: int, hashes: int = HASHES) -> tuple[int, int]:
@@ -193,69 +196,107 @@ def _star(test: tuple):
     return run
 
 
-def _rest(test: tuple, bands: int):
-    """Rows come by (hub, left, right, kind); those of one task are held: two blocks."""
+class Meeting:
+    """Members of two blocks of a bucket: ``side`` 0 meets ``side`` 1."""
 
-    def meet(tester: Tester, hub: int, alone: bool, rows: list[dict]) -> list[tuple[int, int]]:
+    def __init__(self, tester: Tester, bands: int, hub: int, alone: bool, rows: list[dict]) -> None:
+        self.tester, self.bands, self.hub, self.alone = tester, bands, hub, alone
         seen = {(r["rep"], r["side"]): r for r in rows}
-        left = [r for r in seen.values() if r["side"] == 0]
-        right = [r for r in seen.values() if r["side"] == 1]
-        if not left or not right:
-            return []
-        hubs = np.full((len(right), bands), -1, np.int64)
-        for k, r in enumerate(right):
-            for x in r["hubs"]:
-                hubs[k, x["band"]] = x["hub"]
-        sigs = np.stack([np.frombuffer(r["sig"], np.uint16) for r in right])
-        root: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while (up := root.get(c, c)) != c:
-                c = up
-            return c
+        self.left = [r for r in seen.values() if r["side"] == 0]
+        self.right = [r for r in seen.values() if r["side"] == 1]
+        self.root: dict[int, int] = {}
+        if self.right:
+            self.ids = np.array([r["rep"] for r in self.right])
+            self.sigs = np.stack([np.frombuffer(r["sig"], np.uint16) for r in self.right])
+            self.hubs = np.stack([self._hubs(r, -1) for r in self.right])
+            self.components = np.array([r["component"] for r in self.right])
+
+    def _hubs(self, r: dict, none: int) -> np.ndarray:
+        out = np.full(self.bands, none, np.int64)
+        for x in r["hubs"]:
+            out[x["band"]] = x["hub"]
+        return out
+
+    def find(self, c: int) -> int:
+        while (up := self.root.get(c, c)) != c:
+            c = up
+        return c
+
+    def near(self, r: dict) -> np.ndarray:
+        """Numbers of the right members that are another component's, have this bucket as the first in common with
+        ``r`` and aren't pruned by their signatures."""
+        same = self.hubs == self._hubs(r, -2)
+        first = self.hubs[np.arange(len(self.right)), same.argmax(1)]
+        there = same.any(1) & (first == self.hub) & (self.components != self.find(r["component"])) & (self.ids > r["rep"] if self.alone else self.ids != r["rep"])
+        k = np.flatnonzero(there)
+        return k[self.tester.surviving(np.frombuffer(r["sig"], np.uint16), self.sigs[k])]
+
+    def marked(self) -> list[dict]:
+        """Members with a partner."""
+        hit, out = np.zeros(len(self.right), bool), []
+        for r in self.left if self.right else ():
+            near = self.near(r)
+            hit[near] = True
+            if len(near):
+                out.append(r)
+        return out + [self.right[k] for k in np.flatnonzero(hit).tolist()]
 
+    def links(self) -> list[tuple[int, int]]:
+        """Links, by full sets, that join components."""
         found = []
-        ids = np.array([r["rep"] for r in right])
-        for r in left:
-            mine = np.full(bands, -2, np.int64)
-            for x in r["hubs"]:
-                mine[x["band"]] = x["hub"]
-            same = hubs == mine
-            first = hubs[np.arange(len(right)), same.argmax(1)]
-            comps = np.array([find(x["component"]) for x in right])
-            open_ = same.any(1) & (first == hub) & (comps != find(r["component"])) & (ids > r["rep"] if alone else ids != r["rep"])
-            near = np.flatnonzero(open_)
-            near = near[tester.surviving(np.frombuffer(r["sig"], np.uint16), sigs[near])]
-            if len(near):
-                for k in near[tester.linked(tester.sets([r])[0], tester.sets([right[k] for k in near]))].tolist():
-                    a, b = find(r["component"]), find(right[k]["component"])
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        found.append((r["rep"], right[k]["rep"]))
+        for r in self.left if self.right else ():
+            near = self.near(r)
+            if not len(near):
+                continue
+            for k in near[self.tester.linked(self.tester.sets([r])[0], self.tester.sets([self.right[k] for k in near]))].tolist():
+                a, b = self.find(r["component"]), self.find(self.right[k]["component"])
+                if a != b:
+                    self.root[max(a, b)] = min(a, b)
+                    self.components[self.components == max(a, b)] = min(a, b)
+                    found.append((r["rep"], self.right[k]["rep"]))
         return found
 
+
+def _meet(test: tuple, bands: int, handle):
+    """Rows come by (hub, left, right, kind); those of one task are held: two blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tester, key, rows = Tester(*test), None, []
+        meeting = lambda: Meeting(tester, bands, key[0], key[1] == key[2] and not key[3], rows)
         for r in _rows(batches):
             now = (r["hub"], r["i"], r["j"], r["main"])
             if now != key:
-                if rows and (found := meet(tester, key[0], key[1] == key[2] and not key[3], rows)):
-                    yield _links(found)
+                if rows:
+                    yield from handle(meeting())
                 key, rows = now, []
             rows.append(r)
-        if rows and (found := meet(tester, key[0], key[1] == key[2] and not key[3], rows)):
-            yield _links(found)
+        if rows:
+            yield from handle(meeting())
 
     return run
 
 
+_MARKS = "rep long, hub long, component long, i int, j int, main boolean, side int"
+_MARK = pa.schema([("rep", pa.int64()), ("hub", pa.int64()), ("component", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("main", pa.bool_()), ("side", pa.int32())])
+
+
+def _mark(meeting: Meeting) -> Iterator[pa.RecordBatch]:
+    if rows := meeting.marked():
+        yield pa.RecordBatch.from_pylist([{n: r[n] for n in _MARK.names} for r in rows], _MARK)
+
+
+def _link(meeting: Meeting) -> Iterator[pa.RecordBatch]:
+    if found := meeting.links():
+        yield _links(found)
+
+
 def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     A-Z are lower-cased, words stand between ASCII white space, a document's set are its distinct runs of
     ``width`` words; with fewer words, the whole sequence as one.  Documents are linked when 100 x
     intersection >= ``percent`` x union; component_id is the smallest id that links reach, kept tells whether
-    that is the document's own.  Null and empty texts have no shingles and no links.  Rows with the same id
+    that is the document's own.  Null and empty texts have no shingles and no links; of a very long text the whole set counts.  Rows with the same id
     are the same document to links and are all kept or all dropped; a row with a null id has no component and
     is kept.  An empty table gives an empty result; other columns are not looked at.
     """
@@ -294,7 +335,8 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
     of_hub = comps.where("rep = hub").select("hub", F.col("component").alias("hub_component")).distinct()
     placed = comps.join(scratch.apart(of_hub), "hub").withColumn("main", F.col("component") == F.col("hub_component"))
     placed = scratch.table(placed, "near-placed")
-    loads = placed.groupBy("hub", "main").agg(load("blocks")).groupBy("hub").agg(F.max(F.when(~F.col("main"), F.col("blocks"))).alias("others"), F.max(F.when(F.col("main"), F.col("blocks"))).alias("mains")).where("others is not null")
+    finer = F.least(F.lit(LEAST_BLOCKS), F.ceil(F.count("*") / LEAST_MEMBERS)).cast("int")
+    loads = placed.groupBy("hub", "main").agg(load("coarse"), finer.alias("finer")).withColumn("blocks", F.greatest("coarse", "finer")).groupBy("hub").agg(F.max(F.when(~F.col("main"), F.col("blocks"))).alias("others"), F.max(F.when(F.col("main"), F.col("blocks"))).alias("mains")).where("others is not null")
     placed = placed.join(scratch.apart(loads), "hub").withColumn("own", F.when(F.col("main"), block("mains")).otherwise(block("others")))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     base = ("rep", "hub", "component")
@@ -305,9 +347,10 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
         placed.where("not main").select(*base, F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("others") - 1)).alias("j"), F.lit(False).alias("main"), F.lit(0).alias("side")),
         placed.where("not main").select(*base, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.lit(False).alias("main"), F.lit(1).alias("side")),
     ]
-    work = tasks[0].union(tasks[1]).union(tasks[2]).union(tasks[3]).join(near.select("rep", "sig", "text", "hubs"), "rep")
-    work = work.repartition("hub", "i", "j", "main").sortWithinPartitions("hub", "i", "j", "main", "rep")
-    rest = work.mapInArrow(_rest(test, bands), _LINKS)
+    together = lambda df: df.repartition("hub", "i", "j", "main").sortWithinPartitions("hub", "i", "j", "main", "rep")
+    work = tasks[0].union(tasks[1]).union(tasks[2]).union(tasks[3]).join(near.select("rep", "sig", "hubs"), "rep")
+    marks = scratch.table(together(work).mapInArrow(_meet(test, bands, _mark), _MARKS), "near-marks")
+    rest = together(marks.join(near.select("rep", "sig", "text", "hubs"), "rep")).mapInArrow(_meet(test, bands, _link), _LINKS)
 
     comp = connected_components(first.select("id", "component").toDF("u", "v").union(rest)).select(F.col("id").alias("rep"), "component")
     of_class = classes.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
