@@ -40,8 +40,8 @@ BATCH = 32
 BROADCAST_BYTES = 64 << 20
 #: Most members and most shingles (8 bytes each) of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
-#: Blocks of a bucket whose members meet, if they have so many members at least: so a hot bucket is many tasks'.
-LEAST_BLOCKS, LEAST_MEMBERS = 32, 64
+#: Blocks of a bucket, if they have so many members at least: so a hot bucket is many tasks'.
+LEAST_BLOCKS, LEAST_MEMBERS = 48, 64
 
 
 def banding(percent: int, hashes: int = HASHES) -> tuple[int, int]:
@@ -319,7 +319,8 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
     near = scratch.table(near, "near-texts")
 
     # every member against the smallest of its hubs
-    load = lambda kind: F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("int").alias(kind)
+    finer = F.least(F.lit(float(LEAST_BLOCKS)), F.count("*") / LEAST_MEMBERS)
+    load = lambda kind: F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS, finer)).cast("int").alias(kind)
     block = lambda of: F.pmod(F.xxhash64("rep", "hub"), F.greatest(F.col(of), F.lit(1))).cast("int")
     pairs = near.select("rep", "n", F.array_min("hubs.hub").alias("hub")).where("hub < rep")
     loads = pairs.groupBy("hub").agg(load("blocks"))
@@ -335,8 +336,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, miss: float = 1e-
     of_hub = comps.where("rep = hub").select("hub", F.col("component").alias("hub_component")).distinct()
     placed = comps.join(scratch.apart(of_hub), "hub").withColumn("main", F.col("component") == F.col("hub_component"))
     placed = scratch.table(placed, "near-placed")
-    finer = F.least(F.lit(LEAST_BLOCKS), F.ceil(F.count("*") / LEAST_MEMBERS)).cast("int")
-    loads = placed.groupBy("hub", "main").agg(load("coarse"), finer.alias("finer")).withColumn("blocks", F.greatest("coarse", "finer")).groupBy("hub").agg(F.max(F.when(~F.col("main"), F.col("blocks"))).alias("others"), F.max(F.when(F.col("main"), F.col("blocks"))).alias("mains")).where("others is not null")
+    loads = placed.groupBy("hub", "main").agg(load("blocks")).groupBy("hub").agg(F.max(F.when(~F.col("main"), F.col("blocks"))).alias("others"), F.max(F.when(F.col("main"), F.col("blocks"))).alias("mains")).where("others is not null")
     placed = placed.join(scratch.apart(loads), "hub").withColumn("own", F.when(F.col("main"), block("mains")).otherwise(block("others")))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     base = ("rep", "hub", "component")
