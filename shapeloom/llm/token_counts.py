@@ -1,7 +1,7 @@
 """Token counts under a unigram model, by dynamic programming over a trie.
 
 Pre-tokens are the words between white space, each with a leading ``▁``.  The distinct ones that a worker
-hasn't counted yet go into a trie.  A node's forward score is the best log-probability of a segmentation of
+hasn't counted yet go into its trie, which the tasks that it runs one after the other share.  A node's forward score is the best log-probability of a segmentation of
 its prefix; it needs the scores of the nodes above it only, so it is computed once, when the node is made,
 whatever the number of pre-tokens below.  The node that ends a pre-token keeps its count of tokens.
 
@@ -25,8 +25,8 @@ from .bpe import REMEMBERED, _Remember
 MARK = "▁"
 #: Nodes after which a worker's trie starts anew.
 NODES = 400_000
-#: Characters of a pre-token that is neither put in the trie nor remembered.
-LONG = 1000
+#: Characters of a pre-token that have nodes; those behind them have their scores alone.
+DEPTH = 1000
 
 
 def unigram_scores(path: str) -> dict[str, float]:
@@ -54,12 +54,10 @@ class CountingTrie:
 
     def insert(self, word: str) -> tuple[int, float]:
         """Tokens and log-probability of the best segmentation of a pre-token."""
-        if len(word) > LONG:
-            return self._long(word)
         if len(self.forward) > self.most:
             self.clear()
         path, child, forward, count, ends = [0], self.child, self.forward, self.count, self.ends
-        for d, c in enumerate(word, 1):
+        for d, c in enumerate(word[:DEPTH], 1):
             at = path[-1] << 21 | ord(c)
             node = child.get(at)
             if node is None:
@@ -76,16 +74,15 @@ class CountingTrie:
                 forward.append(best)
                 count.append(tokens)
             path.append(node)
-        return count[path[-1]], forward[path[-1]]
-
-    def _long(self, word: str) -> tuple[int, float]:
-        """The same without nodes: only the scores that a piece can reach back to are held."""
-        reach = deque([(0.0, 0)], self.longest)
-        for d, c in enumerate(word, 1):
-            n = len(c.encode())
+        if len(word) <= DEPTH:
+            return count[path[-1]], forward[path[-1]]
+        # only the scores that a piece can reach back to are held
+        reach = deque(((forward[p], count[p]) for p in path[-self.longest :]), self.longest)
+        for d in range(DEPTH + 1, len(word) + 1):
+            n = len(word[d - 1].encode())
             best, tokens = reach[-1][0] + n * self.byte, reach[-1][1] + n
             for k in range(1, len(reach) + 1):
-                s = self.ends.get(word[d - k : d], 0.0)
+                s = ends.get(word[d - k : d], 0.0)
                 if s == 0.0:
                     break
                 if s is not None and (s := reach[-k][0] + s) >= best:
@@ -94,21 +91,27 @@ class CountingTrie:
         return reach[-1][1], reach[-1][0]
 
 
-_MODELS: dict[str, dict[str, float]] = {}
+#: By path: what a worker has counted, whatever the task.
+_KNOWN: dict[str, _Remember] = {}
+
+
+def known_words(path: str) -> _Remember:
+    """(tokens, log-probability) by pre-token without its mark; bounded, and kept as long as the worker lives."""
+    if path not in _KNOWN:
+        trie = CountingTrie(unigram_scores(path))
+        _KNOWN[path] = _Remember(lambda w: trie.insert(MARK + w), 2 * REMEMBERED)
+    return _KNOWN[path]
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _MODELS:
-            _MODELS[path] = unigram_scores(path)
-        trie = CountingTrie(_MODELS[path])
-        known = _Remember(lambda w: trie.insert(MARK + w), 2 * REMEMBERED)
+        known = known_words(path)
         for batch in batches:
             n_words, n_tokens, score = [], [], []
             for value in batch.column(1):
                 words = (value.as_py() or "").split()
-                if max(map(len, words), default=0) > LONG:
-                    got = [known[w] if len(w) <= LONG else known.compute(w) for w in words]
+                if max(map(len, words), default=0) > DEPTH:
+                    got = [known[w] if len(w) <= DEPTH else known.compute(w) for w in words]
                 else:
                     got = list(map(known.__getitem__, words))
                 n, s = zip(*got) if got else ((), ())
@@ -123,7 +126,8 @@ def _count(path: str):
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens and log_prob (natural logarithm, of the best segmentations) of each whole text.
 
-    A null or empty text has none of either.  Null ids pass through, repeated rows are counted alike, an empty
+    A null or empty text has none of either; a very long text, or word, is counted whole in bounded memory.  Of equally
+    probable segmentations the one with the longest last piece counts.  Null ids pass through, repeated rows are counted alike, an empty
     table gives an empty result, other columns are not looked at.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
