@@ -44,7 +44,7 @@ def test_long_unsplit():
     rng = random.Random(1)
     for _ in range(400):
         parts = rng.choice([["a", "b"], list("etaoin"), ["the", "an"], ["a"], ["aaa", "b"], list("漢字é"), list("!?."), ["ation", "er", "x"]])
-        text = "".join(rng.choice(parts) for _ in range(rng.randrange(B.LEAF, 700)))
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(2, 700)))
         same(text)
         symbols = OWN.symbols(text.lower()) if text.isalpha() else None
         if symbols and len(symbols) < 400:
@@ -121,7 +121,12 @@ def test_long_pre_tokens(monkeypatch):
     for _ in range(300):
         w = C.MARK + "".join(rng.choice(["th", "e", "an", "漢", "😀", "x", "ing", "ation"]) for _ in range(rng.randrange(0, 40)))
         TRIE.clear()
-        assert TRIE._long(w) == pytest.approx(TRIE.insert(w))
+        whole = TRIE.insert(w)
+        monkeypatch.setattr(C, "DEPTH", rng.randrange(1, 30))
+        TRIE.clear()
+        assert TRIE.insert(w) == pytest.approx(whole)
+        assert len(TRIE.forward) <= C.DEPTH + 1
+        monkeypatch.undo()
 
 
 def test_count_documents(spark):
