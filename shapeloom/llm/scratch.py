@@ -11,6 +11,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -57,10 +58,15 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
-def release() -> None:
-    """Delete every table written so far.  Only when no result that reads them is still to be computed."""
-    while _held:
-        path, (spark,) = _held.popitem()
+def held() -> list[str]:
+    """The tables written and not yet released, in their order."""
+    return list(_held)
+
+
+def release(paths: Iterable[str] | None = None) -> None:
+    """Delete these tables, or all written so far.  Only when no result that reads them is still to be computed."""
+    for path in held() if paths is None else list(paths):
+        (spark,) = _held.pop(path)
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
