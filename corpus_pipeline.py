@@ -54,7 +54,11 @@ def least_score(languages: int) -> float:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, in a script that wasn't learned, or in no language that is probable, go."""
+    """Documents without a letter, in a script that wasn't learned, or in no language that is probable, go.
+
+    So do null and empty texts.  Rows without an id, or repeated, are judged like others; very long texts are read whole;
+    without a row to learn from none stays; columns of any name are kept.
+    """
     model = train(docs.where(~held_out()))
     pred, score = _free(docs, "lang_pred"), _free(docs, "lang_score")
     judged = predict(docs, model, pred_col=pred, score_col=score, least_known=LEAST_KNOWN)
@@ -62,7 +66,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays; rows without an id stay."""
+    """Of equal texts one row stays: the one with the largest id.  Rows without an id stay.
+
+    Null and empty texts are equal.  Of a row that is repeated one occurrence stays, whatever its other columns; very long
+    texts are compared whole.  An empty table stays empty; columns of any name are kept.
+    """
     sha, columns = _free(docs, "text_sha"), docs.columns
     rows = exact_dedup(docs).where("doc_id is not null").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     rows = scratch.table(rows.where("not kept or n > 1"), "exact-rows")
@@ -77,23 +85,33 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Rows without an id, and texts without a word, stay.  Rows with one id are one document and go or stay together, also
+    with different texts; of very long texts the whole sets are compared.  An empty table stays empty; columns of any name
+    are kept.
+    """
     dropped = near_duplicates(docs, WIDTH, PERCENT).where("not kept").select("doc_id")
     return _join(docs, scratch.table(dropped, "near-dropped"), ["doc_id"], "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go; documents and items without an id are known by the hash of their text."""
+    """Documents with a benchmark passage go; items without an id are known by the hash of their text.
+
+    Documents are known by id and text: of rows with one id only those with a passage go.  Null and empty texts stay; very
+    long ones are searched whole.  Without items all stay; columns of any name are kept.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     benchmark = benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text")))
     key = _free(docs, "text_key")
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     leaking = contamination(keyed, benchmark, id_col=key).select("doc_id").distinct()
     return _join(keyed, scratch.table(leaking, "leaking"), [key], "left_anti").drop(key)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every row: null and empty texts have no tokens, rows without
+    an id or repeated are rows like others, very long texts are encoded whole; other columns go."""
     return bpe_encode(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -109,10 +127,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage has written goes when the next one's result is there."""
+    before = set(scratch.held())
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.table(docs, f"stage-{k}")
+            scratch.release(p for p in scratch.held()[:-1] if p not in before)
     return docs
