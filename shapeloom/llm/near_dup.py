@@ -41,7 +41,7 @@ BROADCAST_BYTES = 64 << 20
 #: Most members and most shingles (8 bytes each) of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Blocks of a bucket, if they have so many members at least: so a hot bucket is many tasks'.
-LEAST_BLOCKS, LEAST_MEMBERS = 48, 64
+LEAST_BLOCKS, LEAST_MEMBERS = 12, 64
 
 
 def banding(percent: int, hashes: int = HASHES) -> tuple[int, int]:
