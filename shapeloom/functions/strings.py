@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .coerce import ColumnLike, as_text, col, once, string
+from .coerce import ColumnLike, as_text, col, is_text, once, string
 
 _MOST = (1 << 31) - 1
 _BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -25,13 +25,26 @@ def _whole(x: Column | float) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("int")
 
 
+def _letter_upper(c: Column) -> Column:
+    """Of one letter: as one letter; the title form where the upper one is longer; or as it is."""
+    one = lambda x: F.when(F.char_length(x) == 1, x)
+    return F.coalesce(one(F.upper(c)), one(F.initcap(c)), c)
+
+
+def _upper(x: Column) -> Column:
+    whole = F.upper(x)  # it is longer where a letter has become several
+    return F.when(F.char_length(whole) == F.char_length(x), whole).otherwise(F.array_join(F.transform(F.split(x, ""), _letter_upper), ""))
+
+
 def uppercase(x: ColumnLike) -> Column:
-    """By Unicode's full case mapping: one letter may become several."""
-    return as_text(F.upper(_text(x)))
+    """By Unicode's simple case mapping, letter by letter: the length stays, so ß stays."""
+    return as_text(once(x, _upper) if is_text(x) else _upper(_text(x)))
 
 
 def lowercase(x: ColumnLike) -> Column:
-    return as_text(F.lower(_text(x)))
+    """By Unicode's simple case mapping: Σ becomes σ at a word's end, too, and İ becomes i."""
+    x = F.replace(F.replace(_text(x), F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i"))
+    return as_text(F.lower(x))
 
 
 def trim(x: ColumnLike) -> Column:

@@ -86,6 +86,19 @@ def test_ten_nested_text_functions_plan_fast(spark, functions):
     assert time.perf_counter() - began < 1
 
 
+def test_case_keeps_the_length(spark):
+    letter = spark._jvm.java.lang.Character  # its case mappings of one letter are the simple ones
+    grows = [n for n in range(0x80, 0x11000) if not 0xD800 <= n < 0xE000 and (len(chr(n).upper()) > 1 or len(chr(n).lower()) > 1)]
+    assert len(grows) > 100
+    words = [f"x{chr(n)}\U00010428 y" for n in [*grows, *range(0xC0, 0x180), *range(0x391, 0x3CA)]] + ["", "ΣΑΣ", "straße ŉ"]
+    got = spark.createDataFrame([(w,) for w in words], "x string").select("x", J.uppercase("x").alias("u"), J.uppercase(J.trim("x")).alias("again"), J.lowercase("x").alias("l")).collect()
+    simple = lambda x, f: "".join(chr(f(ord(c))) for c in x)
+    assert [(r.x, r.u) for r in got] == [(r.x, simple(r.x, letter.toUpperCase)) for r in got]
+    assert [(r.x, r.again) for r in got] == [(r.x, r.u) for r in got]
+    assert [(r.x, r.l) for r in got] == [(r.x, simple(r.x, letter.toLowerCase)) for r in got]
+    assert one(spark, J.uppercase(F.lit(None).cast("string")), J.lowercase(F.lit(1.5))) == ("", "1.5")
+
+
 def test_dynamic_arguments(spark):
     df = spark.createDataFrame([("hello", 1, "l"), ("hello", -2, "z"), ("hello", -9, ""), (None, 2, "x")], "s string, n int, m string")
     got = df.select(J.substring("s", F.col("n"), 2), J.substring("s", F.col("n")), J.substring_after("s", F.col("m")), J.pad("s", F.col("n") + 6, F.col("m"))).collect()
