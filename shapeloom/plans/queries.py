@@ -205,15 +205,15 @@ def array_map(spark, sf_dir):
 
 
 @_register("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_returnflag) AS rn FROM lineitem),
-              i AS (SELECT l_orderkey, list(l_returnflag ORDER BY rn) AS f, list(CAST(l_linenumber AS VARCHAR) ORDER BY rn) AS n FROM r GROUP BY l_orderkey),
+              i AS (SELECT l_orderkey, list(l_returnflag ORDER BY rn) AS f, string_agg(l_returnflag || l_linenumber, '|' ORDER BY rn) AS z FROM r GROUP BY l_orderkey),
               d AS (SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY first) AS flags FROM (SELECT l_orderkey, l_returnflag, min(rn) AS first FROM r GROUP BY ALL) GROUP BY l_orderkey)
               SELECT l_orderkey, array_to_string(list_concat(f, ['end']), ',') AS appended, flags AS different, array_to_string(list_reverse(f), ',') AS reversed,
-                     array_to_string(list_sort(f), ',') AS sorted, f[1] || n[1] || CASE WHEN len(f) > 1 THEN '|' || f[2] || n[2] ELSE '' END AS zipped
+                     array_to_string(list_sort(f), ',') AS sorted, z AS zipped
               FROM i JOIN d USING (l_orderkey)""")
 def array_functions(spark, sf_dir):
     orders = _nested_orders(spark, sf_dir).where(F.size("items") > 0)
     flags, numbers = F.col("items.flag"), F.transform("items.l_linenumber", J.string)
-    zipped = F.transform(F.slice(J.zip_arrays(flags, numbers), 1, 2), lambda t: J.concat(F.element_at(t, 1), F.element_at(t, 2)))
+    zipped = F.transform(J.zip_arrays(flags, numbers), lambda t: J.concat(F.element_at(t, 1), F.element_at(t, 2)))
     return orders.select(F.col("o_orderkey").alias("l_orderkey"), J.join(J.append(flags, ["end"])).alias("appended"), J.join(J.distinct(flags)).alias("different"), J.join(J.reverse(flags)).alias("reversed"), J.join(J.sort(flags)).alias("sorted"), J.join(zipped, "|").alias("zipped"))
 
 
